@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embed_dedup, jaccard_groups, mixing, quality_rules, sharding, sp_fst, token_files
+from quarry.llm import embed_dedup, jaccard_groups, language_id, mixing, quality_classifier, quality_rules, sharding, sp_fst, token_files, url_filter
 from quarry.llm.storage import fresh_path
 
 
@@ -25,12 +25,24 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
     return token_files.read_tokens(spark, folder)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op4_token_files, op6_quality_rules, op7_sentencepiece, op8_sharding, op9_mixing, op10_ngram_jaccard)}
+    every = (
+        op1_embedding_near_dedup, op2_quality_classifier, op3_url_filters, op4_token_files, op5_language_id,
+        op6_quality_rules, op7_sentencepiece, op8_sharding, op9_mixing, op10_ngram_jaccard,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _sharding_sql() -> str:
@@ -65,6 +81,55 @@ owner AS (SELECT {owner} AS shards)
 SELECT doc_id, slot, CAST(shards[slot + 1] AS INTEGER) AS shard FROM placed, owner"""
 
 
+def _url_filter_sql() -> str:
+    order, least, unit = url_filter.ORDER, url_filter.LEAST, url_filter.UNIT
+    fits = "(host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '/{p}')"
+    longest = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[1]))
+    cases = [(fits.format(d=text.partition("/")[0], p=text.partition("/")[2]), text, says) for says, text in longest]
+    rule = "CASE " + " ".join(f"WHEN {when} THEN '{text}'" for when, text, _ in cases) + " END"
+    says = "CASE " + " ".join(f"WHEN {when} THEN '{says}'" for when, _, says in cases) + " END"
+    levels = [f"level{order} AS (SELECT gram, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM parts GROUP BY gram)"]
+    for k in range(order - 1, -1, -1):
+        levels.append(f"level{k} AS (SELECT substr(gram, 2) AS gram, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM level{k + 1} GROUP BY ALL)")
+    for k in range(order + 1):
+        below = ", ".join(f"{x}_p AS {x}_below" if k else f"1.0::DOUBLE / {url_filter.ALPHABET} AS {x}_below" for x in "ab")
+        join = f" JOIN (SELECT gram AS shorter, {below} FROM model{k - 1}) m ON substr(l.gram, 2) = m.shorter" if k else ""
+        seen = ", ".join(f"sum({x}) OVER w AS {x}_n, count(*) FILTER (WHERE {x} > 0) OVER w AS {x}_d" for x in "ab")
+        smooth = ", ".join(f"CASE WHEN {x}_n >= {least} THEN ({x} + {x}_d * {x}_below) / ({x}_n + {x}_d) ELSE {x}_below END AS {x}_p" for x in "ab")
+        levels.append(f"model{k} AS (SELECT gram, {smooth} FROM (SELECT l.gram, a, b, {seen}, {'a_below, b_below' if k else below} FROM level{k} l{join} WINDOW w AS (PARTITION BY left(l.gram, length(l.gram) - 1))))")
+    return rf"""
+WITH cut AS (
+  SELECT page_id, coalesce(contains(url, '://'), false) AS usable,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+parsed AS (
+  SELECT *, {rule} AS rule, {says} AS says,
+         CASE WHEN usable THEN regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^ -~]', '~', 'g') END AS form
+  FROM cut),
+forms AS (
+  SELECT form, max((says IS NOT NULL AND says = 'allow')::BIGINT) AS allowed, max((says IS NOT NULL AND says = 'block')::BIGINT) AS blocked,
+         ('0x' || left(md5(form), 8))::BIGINT % {url_filter.HELD} = 0 AS held
+  FROM parsed WHERE usable GROUP BY form),
+padded AS (SELECT *, repeat(chr(2), {order}) || form || chr(3) AS p FROM forms),
+parts AS (
+  SELECT form, CASE WHEN held THEN 0 ELSE allowed END AS a, CASE WHEN held THEN 0 ELSE blocked END AS b, substr(p, i, {order + 1}) AS gram
+  FROM (SELECT *, unnest(range(1, length(form) + 2)) AS i FROM padded)),
+{", ".join(levels)},
+scored AS (
+  SELECT form, sum(round((ln(a_p) - ln(b_p)) * {unit})::BIGINT)::DOUBLE / {unit}::DOUBLE / count(*) AS score
+  FROM parts JOIN model{order} USING (gram) GROUP BY form),
+bins AS (
+  SELECT floor(score * {url_filter.BINS}) AS bin, sum(allowed) AS a, sum(blocked) AS b
+  FROM forms JOIN scored USING (form) WHERE held AND allowed + blocked > 0 GROUP BY ALL),
+losses AS (
+  SELECT bin, coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / nullif(sum(a) OVER (), 0)
+              + sum(b) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE / nullif(sum(b) OVER (), 0) AS loss FROM bins),
+threshold AS (SELECT coalesce((SELECT bin FROM losses WHERE loss IS NOT NULL ORDER BY loss, bin LIMIT 1), 0)::DOUBLE / {url_filter.BINS} AS t)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict
+FROM parsed LEFT JOIN scored USING (form), threshold"""
+
+
 MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -104,4 +169,4 @@ SELECT doc_id, source, size, source_size, target, (floor(e) + taken_once::INT)::
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": _sharding_sql(), "op9_mixing": MIXING_SQL}
+    return {"op3_url_filters": _url_filter_sql(), "op8_sharding": _sharding_sql(), "op9_mixing": MIXING_SQL}
