@@ -3,7 +3,8 @@
 A text is a vector of hashed byte n-grams (2 and 3 bytes of the lower-cased text, anything but letters folded to
 spaces): square roots of counts times inverse document frequencies, of length 1. Each language has several centroids,
 from spherical k-means over its own vectors. A text gets the language of the centroid with the greatest cosine; where
-that cosine is below the language's limit, the text is rejected: it is far from everything that was learned.
+that cosine is below the language's limit, the text is rejected: it is far from everything that was learned. The limit
+falls with the root of the number of n-grams below FULL, as the cosine of a short text to any dense centroid does.
 
 Document frequencies come from every training row; centroids are fitted on at most about SAMPLE rows a language, drawn
 by a hash of the id, and the vectors of one language meet in one task: SAMPLE times 16 KB whatever the corpus. What
@@ -37,6 +38,8 @@ from quarry.llm.storage import bounded_batches, small
 FOLDS, BITS, SAMPLE, CLUSTERS, ROUNDS = 5, 12, 400, 4, 12
 #: A language's limit: this part of the cosine that all but FEW of its sample reach.
 SLACK, FEW = 0.5, 0.01
+#: N-grams from which a text has to reach the limit itself.
+FULL = 512
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -91,18 +94,19 @@ class Model:
             cosines = self.centroids @ (v / max(length, 1e-12))
             best = int(cosines.argmax())
             languages[i], score[i] = self.languages[best], min(1.0, max(0.0, float(cosines[best])))
-            rejected[i] = score[i] < self.limits[best]
+            rejected[i] = score[i] < self.limits[best] * min(1.0, np.sqrt(counts.sum() / FULL))
         return languages, score, rejected
 
 
 def _vectors(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, n = [], []
             for counts in _counts(batch.column("text")):
+                n.append(max(1, int(counts.sum())))
                 v = np.sqrt(counts) * idf
                 out.append((v / max(np.sqrt(v @ v), 1e-12)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(out, pa.binary())], names=["lang", "doc_id", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["lang", "doc_id", "n", "vector"])
 
     return run
 
@@ -126,7 +130,8 @@ def _fit_language(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["doc_id", "vector"], kind="stable")
     v = np.stack([np.frombuffer(x, "<f4") for x in rows["vector"]]).astype(np.float64)
     centroids, cosine = spherical_kmeans(v, CLUSTERS)
-    limit = SLACK * float(np.quantile(cosine, FEW))
+    expected = np.minimum(1.0, np.sqrt(rows["n"].to_numpy() / FULL))
+    limit = SLACK * float(np.quantile(cosine / expected, FEW))
     return pd.DataFrame({"lang": rows["lang"].iloc[0], "cluster": range(len(centroids)), "vector": [c.astype("<f4").tobytes() for c in centroids], "limit": limit})
 
 
@@ -143,7 +148,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     shares = rows.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count("*")).alias("share"))
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(small(shares), "lang").where(uniform < F.col("share")).select("lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
-    fitted = sample.mapInArrow(_vectors(idf), "lang string, doc_id string, vector binary").groupBy("lang").applyInPandas(_fit_language, "lang string, cluster int, vector binary, limit double")
+    fitted = sample.mapInArrow(_vectors(idf), "lang string, doc_id string, n long, vector binary").groupBy("lang").applyInPandas(_fit_language, "lang string, cluster int, vector binary, limit double")
     parts = sorted(fitted.collect(), key=lambda r: (r["lang"], r["cluster"]))  # CLUSTERS a language
     return Model(idf, np.stack([np.frombuffer(r["vector"], "<f4") for r in parts]).astype(np.float64), [r["lang"] for r in parts], np.array([r["limit"] for r in parts]))
 

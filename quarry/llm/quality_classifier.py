@@ -1,6 +1,7 @@
 """Quality classifier: weak labels whose accuracies are estimated, then a hashed linear scorer.
 
-Heuristic labellers vote good, bad or nothing on each text. Their accuracies are not given: expectation-maximisation
+Heuristic labellers vote good, bad or nothing on each text; they overlap, so that each kind of fault (noise, repetition)
+is seen by two or more of them. The latent classes are good and one for each kind of fault. Accuracies are not given: expectation-maximisation
 over the counts of vote patterns estimates, for each labeller and class, how often it votes what. Patterns are at most
 3 ** labellers whatever the corpus, counted over all documents, so this runs on the driver. Each pattern's posterior
 then labels documents for a logistic scorer over hashed byte trigrams (letter case kept), which judges every document.
@@ -31,19 +32,25 @@ from quarry.llm.textscan import Words, chunks, column_bytes
 
 BITS, SAMPLE, THRESHOLD = 14, 3000, 0.5
 ROUNDS, STEPS, RATE, DECAY = 100, 150, 4.0, 1e-5
-#: A labeller's name, and the limits of what it measures: bad from the second on, good up to the first.
+#: A labeller's name, the limits of what it measures (bad from the second on, good up to the first), and the class that
+#: its vote against a text speaks for; class 0 is good.
+NOISE, REPETITION, CLASSES = 1, 2, 3
 LABELLERS = (
-    ("symbols_per_word", 0.03, 0.1),
-    ("upper_case_share", 0.2, 0.5),
-    ("exclamations_per_word", 0.05, 0.2),
-    ("repeated_window_share", 0.1, 0.3),
-    ("repeated_neighbour_share", 0.03, 0.1),
-    ("duplicate_line_share", 0.05, 0.3),
-    ("digits_per_letter", 0.1, 0.3),
-    ("open_line_share", 0.5, 0.9),
+    ("symbols_per_word", 0.03, 0.1, NOISE),
+    ("upper_case_share", 0.2, 0.5, NOISE),
+    ("exclamations_per_word", 0.05, 0.2, NOISE),
+    ("repeated_window_share", 0.1, 0.3, REPETITION),
+    ("repeated_neighbour_share", 0.03, 0.1, REPETITION),
+    ("duplicate_line_share", 0.05, 0.3, REPETITION),
+    ("digits_per_letter", 0.1, 0.3, NOISE),
+    ("open_line_share", 0.5, 0.9, NOISE),
+    ("other_byte_share", 0.08, 0.15, NOISE),
+    ("odd_ending_share", 0.1, 0.3, NOISE),
 )
 BAD, NONE, GOOD = 0, 1, 2
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _KIND = np.zeros((4, 256), np.int64)
 _KIND[0, list(b"#*$%&|<>")] = 1
 _KIND[1, list(b"!")] = 1
@@ -51,6 +58,12 @@ _KIND[2, 65:91] = 1
 _KIND[3, 48:58] = 1
 _LETTER = np.zeros(256, np.int64)
 _LETTER[65:91] = _LETTER[97:123] = 1
+#: Bytes of words that are neither letters nor beyond ASCII; endings of words that running text has.
+_OTHER = np.zeros(256, np.int64)
+_OTHER[33:127] = 1 - _LETTER[33:127]
+_PLAIN = np.ones(256, bool)
+_PLAIN[33:127] = False
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *b".,;:?)\x22\x27"]] = True
 
 
 def measure(column: pa.Array) -> Iterator[np.ndarray]:
@@ -67,6 +80,9 @@ def measure(column: pa.Array) -> Iterator[np.ndarray]:
 
         symbols, marks, upper, digits = (total(k) for k in _KIND)
         letters = total(_LETTER)
+        in_words = total((~_IS_SPACE).astype(np.int64))
+        other = total(_OTHER)
+        odd = np.bincount(words.row[~_PLAIN[raw[words.ends - 1]]], minlength=words.rows) if len(words.ends) else np.zeros(words.rows)
         hashes = words.hashes()
         same = (hashes[1:] == hashes[:-1]) & (words.row[1:] == words.row[:-1]) if len(hashes) > 1 else np.empty(0, bool)
         neighbours = np.bincount(words.row[1:][same], minlength=words.rows) if len(same) else np.zeros(words.rows)
@@ -77,13 +93,13 @@ def measure(column: pa.Array) -> Iterator[np.ndarray]:
             lines[i], copies[i] = len(each), duplicate_lines(text)
             loose[i] = sum(x[-1:] not in b'.!?:;"\x27)' for x in each)
         with np.errstate(divide="ignore", invalid="ignore"):
-            values = [symbols / n, upper / letters, marks / n, repeated_words(words) / n, neighbours / n, copies / lines, digits / letters, loose / lines]
+            values = [symbols / n, upper / letters, marks / n, repeated_words(words) / n, neighbours / n, copies / lines, digits / letters, loose / lines, other / in_words, odd / n]
         yield np.where(np.isfinite(np.stack([*values, n], 1)), np.stack([*values, n], 1), np.nan)
 
 
 def votes(values: np.ndarray) -> np.ndarray:
     out = np.full((len(values), len(LABELLERS)), NONE)
-    for j, (_, good, bad) in enumerate(LABELLERS):
+    for j, (_, good, bad, _) in enumerate(LABELLERS):
         out[values[:, j] <= good, j] = GOOD
         out[values[:, j] >= bad, j] = BAD
     return out
@@ -105,45 +121,49 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class LabelModel:
-    """posterior: P(good) by pattern; table: P(vote | class), by labeller, class (bad, good) and vote."""
+    """posterior: P(good) by pattern; table: P(vote | class), by labeller, class and vote; share: of each class."""
 
     posterior: np.ndarray
     table: np.ndarray
-    share: float
+    share: np.ndarray
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     """Expectation-maximisation over vote patterns, from majority votes on."""
     k = len(LABELLERS)
-    every = np.arange(3**k)
-    voted = every[:, None] // 3 ** np.arange(k) % 3
-    n = np.zeros(3**k)
-    n[patterns] = counts
+    powers = 3 ** np.arange(k)
+    seen = patterns[:, None] // powers % 3
+    n = counts.astype(np.float64)
     # a document is at first good unless somebody says bad: heuristics look for different faults
-    good = np.where((voted == BAD).any(axis=1), 0.1, 0.9)
-    table, share = np.zeros((k, 2, 3)), 0.5
+    kind = np.array([c for _, _, _, c in LABELLERS])
+    says = np.stack([(seen[:, kind == c] == BAD).sum(axis=1) for c in range(CLASSES)], 1)
+    against = says.sum(axis=1, keepdims=True)
+    belief = 0.9 * np.where(against > 0, says / np.maximum(against, 1), [1.0] + [0.0] * (CLASSES - 1)) + 0.1 / CLASSES
+    table, share = np.full((k, CLASSES, 3), 1 / 3), np.full(CLASSES, 1 / CLASSES)
+
+    def posterior(voted: np.ndarray) -> np.ndarray:
+        log = np.log(share)[None] + sum(np.log(table[j].T[voted[:, j]]) for j in range(k))
+        out = np.exp(log - log.max(axis=1, keepdims=True))
+        return out / out.sum(axis=1, keepdims=True)
+
     for _ in range(rounds):
-        mass = np.stack([n * (1 - good), n * good])
-        share = float((mass[1].sum() + 1) / (n.sum() + 2))
-        for j in range(k):
-            for v in (BAD, NONE, GOOD):
-                table[j, :, v] = mass[:, voted[:, j] == v].sum(axis=1) + 1
+        mass = (n[:, None] * belief).T
+        share = (mass.sum(axis=1) + 1) / (n.sum() + CLASSES)
+        for v in (BAD, NONE, GOOD):
+            table[:, :, v] = (mass @ (seen == v)).T + 1
         table /= table.sum(axis=2, keepdims=True)
-        log = np.log([1 - share, share])[None] + sum(np.log(table[j].T[voted[:, j]]) for j in range(k))
-        after = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-        if np.abs(after - good).max() < 1e-9:
-            good = after
+        before, belief = belief, posterior(seen)
+        if np.abs(belief - before).max(initial=0) < 1e-9:
             break
-        good = after
-    return LabelModel(good, table, share)
+    return LabelModel(posterior(np.arange(3**k)[:, None] // powers % 3)[:, 0], table, share)
 
 
 def accuracies(model: LabelModel) -> dict[str, float]:
     """How often each labeller is right where it votes, by the model itself."""
     out = {}
-    for (name, _, _), t in zip(LABELLERS, model.table, strict=True):
-        right = (1 - model.share) * t[0, BAD] + model.share * t[1, GOOD]
-        out[name] = float(right / (right + (1 - model.share) * t[0, GOOD] + model.share * t[1, BAD]))
+    for (name, *_), t in zip(LABELLERS, model.table, strict=True):
+        right = model.share[0] * t[0, GOOD] + model.share[1:] @ t[1:, BAD]
+        out[name] = float(right / (right + model.share[0] * t[0, BAD] + model.share[1:] @ t[1:, GOOD]))
     return out
 
 
