@@ -1 +1,6 @@
-"""A PySpark-native multimodal table engine."""
+"""A table engine on Spark DataFrames: a compact SQL dialect, spatial predicates, versioned Parquet tables."""
+
+from quarry.errors import EngineError, ParseError, QuarryError
+from quarry.session import Session
+
+__all__ = ["EngineError", "ParseError", "QuarryError", "Session"]

@@ -1 +1 @@
-
+"""Column functions: points, distances, value coercion."""

@@ -1 +1 @@
-
+"""Operators over DataFrames: filters, ordering and paging."""

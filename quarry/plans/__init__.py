@@ -1 +1 @@
-
+"""Front-end: lexer, syntax tree, parser, printer, planner."""

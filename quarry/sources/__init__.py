@@ -1 +1 @@
-
+"""Storage: catalog, layouts, CSV import."""
