@@ -1,0 +1,224 @@
+"""The engine: dialect, predicates, errors, DML sequences, indexes, import, pages, streams."""
+
+import datetime
+import random
+
+import duckdb
+import pytest
+
+from quarry import EngineError, ParseError, Session
+from quarry.functions.spatial import point
+from quarry.plans import syntax as s
+from quarry.plans.lexer import tokens
+from quarry.plans.parser import parse
+from quarry.schema import DataType, SchemaBuilder
+from quarry.sources.files import shared_folder
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def session(spark, tmp_path):
+    return Session(spark, f"file://{tmp_path}/warehouse")
+
+
+def rows(session, sql):
+    result, message = session.execute_sql(sql)
+    assert result is not None, message
+    return result["records"]
+
+
+def test_lexer_and_parser():
+    kinds = [t.kind for t in tokens("select /* a\nb */ x1, -5 -- end\n <> != 1. 'it' <=")]
+    assert kinds == ["SELECT", "name", ",", "int", "<>", "<>", "float", "string", "<=", "end"]
+    (q,) = parse("SELECT a FROM t WHERE a = 1 OR b = 2 AND NOT c ORDER BY a DESC LIMIT 3;")
+    assert isinstance(q.where, s.Either) and isinstance(q.where.right, s.Both) and q.where.right.right == s.Not(s.Flag("c"))
+    assert (q.order_by, q.ascending, q.limit) == ("a", False, 3)
+    assert parse("SELECT * FROM t WHERE (a = 1 OR b = 2) AND c < -1.5")[0].where.left == s.Either(s.Compare("a", "=", 1), s.Compare("b", "=", 2))
+    assert parse("select * from t where p knn (1.0, 2.0, 3)")[0].where == s.Nearest("p", 1.0, 2.0, 3)
+    assert len(parse("DROP TABLE a; DROP TABLE IF EXISTS b;")) == 2
+
+
+@pytest.mark.parametrize("bad", ["", "SELECT", "SELECT a FROM", "SELECT a b FROM t", "SELECT * FROM t WHERE 1 = a", "SELECT * FROM t WHERE NOT NOT a", "SELECT * FROM t LIMIT 1.5", "SELECT * FROM t WHERE p KNN (1, 2, 3)", "SELECT * FROM t WHERE a = 'x", "UPDATE t SET a = 1", "INSERT INTO t VALUES (1), (2)", "CREATE TABLE t (a VARCHAR)", "DROP INDEX i", "SELECT * FROM t WHERE a ? 1", "SELECT * FROM t /* open"])
+def test_parse_errors(bad):
+    with pytest.raises(ParseError) as e:
+        parse(bad)
+    assert "line" in str(e.value) and "position" in str(e.value)
+
+
+def test_random_predicates_match_python(session, spark):
+    rnd = random.Random(7)
+    data = [(i, rnd.randint(-3, 3), rnd.choice([-1.5, 0.0, 2.25]), rnd.choice(["", "a", "b", "ß"]), rnd.random() < 0.5, (float(rnd.randint(0, 4)), float(rnd.randint(0, 4)))) for i in range(60)]
+    session.register("t", spark.createDataFrame(data, "id int, n int, f double, v string, b boolean, p struct<x:double,y:double>"), "id")
+    d2 = lambda r, x, y: (r[5][0] - x) ** 2 + (r[5][1] - y) ** 2
+
+    def leaf():
+        kind = rnd.randrange(8)
+        if kind < 3:
+            name, at, value = rnd.choice([("n", 1, rnd.randint(-3, 3)), ("f", 2, rnd.choice([-1.5, 0.0, 2.25])), ("v", 3, rnd.choice(["", "a", "b"]))])
+            op, fn = rnd.choice([("=", lambda a, b: a == b), ("<>", lambda a, b: a != b), ("<", lambda a, b: a < b), (">", lambda a, b: a > b), ("<=", lambda a, b: a <= b), (">=", lambda a, b: a >= b)])
+            return f"{name} {op} {value!r}", lambda r: fn(r[at], value)
+        if kind == 3:
+            low, high = rnd.randint(-3, 3), rnd.randint(-3, 3)
+            return f"n BETWEEN {low} AND {high}", lambda r: low <= r[1] <= high
+        if kind == 4:
+            return "b", lambda r: r[4]
+        x, y = float(rnd.randint(0, 4)), float(rnd.randint(0, 4))
+        if kind == 5:
+            return f"p WITHIN RECTANGLE ({x}, {y}, {x + 1}, {y + 2})", lambda r: x <= r[5][0] <= x + 1 and y <= r[5][1] <= y + 2
+        if kind == 6:
+            return f"p WITHIN CIRCLE ({x}, {y}, 1.0)", lambda r: d2(r, x, y) <= 1
+        k = rnd.randint(1, 70)
+        limit = sorted(d2(r, x, y) for r in data)[min(k, 60) - 1]
+        return f"p KNN ({x}, {y}, {k})", lambda r: d2(r, x, y) <= limit
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.2:
+            return leaf()
+        a, f = tree(depth - 1)
+        pick = rnd.randrange(3)
+        if pick == 0:
+            return f"NOT ({a})", lambda r: not f(r)
+        b, g = tree(depth - 1)
+        return (f"({a} AND {b})", lambda r: f(r) and g(r)) if pick == 1 else (f"({a} OR {b})", lambda r: f(r) or g(r))
+
+    for _ in range(25):
+        sql, fn = tree(3)
+        assert [r[0] for r in rows(session, f"SELECT id FROM t WHERE {sql}")] == [r[0] for r in data if fn(r)], sql
+
+
+def test_dml_against_a_list(session):
+    session.execute_sql("CREATE TABLE T (id INT PRIMARY KEY, f FLOAT, v VARCHAR(3), ok BOOL, day DATE, p POINT)")
+    assert rows(session, "SELECT * FROM t") == []
+    for i in range(4):
+        assert session.execute_sql(f"INSERT INTO t VALUES ({i % 3}, 12345.678, 'ab{i}', TRUE, '2024-01-0{i + 1}', (0.1, {i}.5))") == (None, "Insertion successful")
+    assert rows(session, "SELECT f, p FROM t LIMIT 1") == [[12345.677734, "(0.1, 0.5)"]]
+    assert [r[0] for r in rows(session, "SELECT v FROM t WHERE id = 0")] == ["ab0", "ab3"]
+    assert rows(session, "SELECT day FROM t WHERE day >= '2024-01-03' ORDER BY day DESC") == [[datetime.date(2024, 1, 4)], [datetime.date(2024, 1, 3)]]
+    assert session.execute_sql("DELETE FROM t WHERE NOT id = 0")[1] == "Deletion successful"
+    session.execute_sql("INSERT INTO t (p, day, ok, v, f, id) VALUES ((1.0, 1.0), '1970-01-01', FALSE, 'xyz', -1.0, -1)")
+    assert [r[0] for r in rows(session, "SELECT v FROM t")] == ["ab0", "ab3", "xyz"]
+    assert [r[0] for r in rows(session, "SELECT v FROM t WHERE NOT ok")] == ["xyz"]
+    assert session.execute_sql("DROP TABLE t; CREATE TABLE t (a INT PRIMARY KEY); SELECT * FROM t")[0] == {"columns": ["a"], "records": []}
+
+
+def test_ties_keep_row_order(session, spark):
+    session.register("t", spark.createDataFrame([(i, i % 2) for i in range(6)], "id int, k int"), "id")
+    assert [r[0] for r in rows(session, "SELECT id FROM t ORDER BY k DESC")] == [1, 3, 5, 0, 2, 4]
+    assert [r[0] for r in rows(session, "SELECT id, id FROM t ORDER BY k LIMIT 4")] == [0, 2, 4, 1]
+    page = session.run_page("SELECT id FROM t ORDER BY k", limit=2, offset=2)
+    assert (page["data"], page["total"], page["message"]) == ({"columns": ["id"], "records": [[4], [1]]}, 6, "Selection successful")
+    assert session.run_page("SELECT nothing FROM t", 1, 0)["data"] == {"columns": [], "records": []}
+
+
+SETUP = "CREATE TABLE t (id INT PRIMARY KEY, v VARCHAR(3), p POINT, f FLOAT, b BOOL); INSERT INTO t VALUES (1, 'a', (0.0, 0.0), 1.0, TRUE)"
+
+
+@pytest.mark.parametrize(
+    ("sql", "part"),
+    [
+        ("SELECT * FROM nope", "doesn't exist"), ("DROP TABLE nope", "doesn't exist"), ("CREATE TABLE t (a INT PRIMARY KEY)", "already exists"),
+        ("CREATE TABLE u (a INT)", "primary key"), ("CREATE TABLE u (a INT PRIMARY KEY, b INT PRIMARY KEY)", "one primary key"), ("CREATE TABLE u (a INT PRIMARY KEY, a INT)", "repeated"),
+        ("CREATE TABLE u (a INT PRIMARY KEY INDEX RTREE)", "RTREE"), ("CREATE TABLE u (a INT PRIMARY KEY, p POINT INDEX HASH)", "POINT"), ("CREATE TABLE u (a VARCHAR(0) PRIMARY KEY)", "positive"),
+        ("SELECT x FROM t", "don't exist: x"), ("SELECT * FROM t ORDER BY x", "ordered by"), ("SELECT * FROM t LIMIT 0", "positive"), ("SELECT * FROM t WHERE x = 1", "'x' doesn't exist"),
+        ("SELECT * FROM t WHERE id = 1.0", "not of type INT"), ("SELECT * FROM t WHERE f = 1", "not of type FLOAT"), ("SELECT * FROM t WHERE id = TRUE", "not of type INT"), ("SELECT * FROM t WHERE id BETWEEN 1 AND 'a'", "not of type INT"),
+        ("SELECT * FROM t WHERE p < (1.0, 1.0)", "not supported"), ("SELECT * FROM t WHERE p BETWEEN 1 AND 2", "BETWEEN"), ("SELECT * FROM t WHERE id", "BOOL"), ("SELECT * FROM t WHERE id KNN (1.0, 1.0, 1)", "POINT"),
+        ("SELECT * FROM t WHERE p WITHIN RECTANGLE (1.0, 0.0, 0.0, 1.0)", "rectangle"), ("SELECT * FROM t WHERE p WITHIN CIRCLE (1.0, 0.0, -1.0)", "radius"), ("SELECT * FROM t WHERE p KNN (1.0, 0.0, 0)", "k must"),
+        ("INSERT INTO t (id) VALUES (1)", "columns"), ("INSERT INTO t VALUES (1)", "number of values"), ("INSERT INTO t VALUES ('1', 'a', (0.0, 0.0), 1.0, TRUE)", "INT"), ("INSERT INTO t VALUES (1, 'abcd', (0.0, 0.0), 1.0, TRUE)", "VARCHAR(3)"), ("INSERT INTO t VALUES (3000000000, 'a', (0.0, 0.0), 1.0, TRUE)", "range"),
+        ("DELETE FROM t", "invalid condition"), ("CREATE INDEX i ON t (id, v)", "more than one"), ("CREATE INDEX i ON t (x)", "doesn't exist"), ("CREATE INDEX i ON t (id)", "already"), ("CREATE INDEX i ON t USING RTREE (v)", "RTREE"), ("CREATE INDEX i ON t USING BTREE (p)", "POINT"),
+        ("DROP INDEX idx_id_HASH ON t", "primary"), ("DROP INDEX i ON t", "doesn't exist"),
+    ],
+)
+def test_validation(session_with_t, sql, part):
+    result, message = session_with_t.execute_sql(sql)
+    assert result is None and part in message, message
+
+
+@pytest.fixture(scope="module")
+def session_with_t(spark, tmp_path_factory):
+    session = Session(spark, f"file://{tmp_path_factory.mktemp('w')}/warehouse")
+    assert session.execute_sql(SETUP)[1] == "Insertion successful"
+    return session
+
+
+def test_indexes_change_nothing_but_layout(session, spark):
+    data = [(i, i * 37 % 50, (float(i % 7), float(i % 11))) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, n int, p struct<x:double,y:double>")
+    expected = None
+    for kind in (None, "AVL", "ISAM", "HASH", "BTREE", "BRIN"):
+        session.execute_sql("DROP TABLE IF EXISTS t; CREATE TABLE t (id INT PRIMARY KEY, n INT, p POINT)")
+        session.import_frame("t", df)
+        if kind:
+            assert session.execute_sql(f"CREATE INDEX i ON t USING {kind} (n); CREATE INDEX j ON t (p)")[1] == "Index created successfully"
+        got = [rows(session, f"SELECT id, n FROM t WHERE {w}") for w in ("n = 5", "n BETWEEN 10 AND 20", "p WITHIN CIRCLE (3.0, 3.0, 2.0)", "p KNN (3.0, 3.0, 5) OR n = 1")]
+        expected = expected or got
+        assert got == expected
+        if kind:
+            assert session.execute_sql("DROP INDEX i ON t; DROP INDEX j ON t")[1] == "Index dropped successfully"
+    assert len(expected[0]) == 6
+
+
+def test_filters_reach_the_scan(session, spark):
+    session.register("orders", spark.read.parquet(f"{DATA}/orders.parquet"), "o_orderkey")
+    plan = session.explain_sql("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000.0 ORDER BY o_totalprice LIMIT 5")
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan and "TakeOrderedAndProject" in plan
+    session.catalog.create(SchemaBuilder("p").column("id", DataType.INT, primary=True).column("at", DataType.POINT).build())
+    session.import_frame("p", spark.createDataFrame([(1, (1.0, 2.0))], "id int, at struct<x:double,y:double>"))
+    assert "GreaterThanOrEqual(at.x,0.0)" in session.explain_sql("SELECT id FROM p WHERE at WITHIN RECTANGLE (0.0, 0.0, 5.0, 5.0)")
+
+
+def test_csv_import(session, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('p,id,name,f,ok\n"(1.5, -2)",1,"a, ""b""",5,yes\n\n ,,,,\n"(0.1,0.2)",-2,,1e-3,No\n')
+    session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY, name VARCHAR(8), f FLOAT, ok BOOL, p POINT)")
+    session.import_csv("t", str(path))
+    assert rows(session, "SELECT * FROM t") == [[1, 'a, "b"', 5.0, True, "(1.5, -2.0)"], [-2, "", 0.001, False, "(0.1, 0.2)"]]
+    path.write_text("p,id,name,f,ok\n(1.0),1,x,5,1\n")
+    with pytest.raises(EngineError, match="row 2"):
+        session.import_csv("t", str(path))
+    path.write_text("id,zzz\n1,2\n")
+    with pytest.raises(EngineError, match="zzz"):
+        session.import_csv("t", str(path))
+    assert len(rows(session, "SELECT * FROM t")) == 2
+
+
+def test_many_inserts_merge(session, monkeypatch):
+    from quarry.sources import catalog
+
+    monkeypatch.setattr(catalog, "MERGE_PARTS", 3)
+    session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY)")
+    for i in range(6):
+        session.execute_sql(f"INSERT INTO t VALUES ({i})")
+    assert len(session.catalog.load("t").parts) <= 3
+    assert [r[0] for r in rows(session, "SELECT * FROM t")] == list(range(6))
+
+
+def test_streams(spark, tmp_path):
+    from quarry.streaming.filters import select_stream
+
+    df = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "value", point("user_id", "value").alias("at"))
+    df.write.parquet(f"{tmp_path}/in")
+    stream = select_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "SELECT event_id FROM events WHERE value > 50.0 AND at WITHIN RECTANGLE (0.0, 0.0, 100.0, 400.0)")
+    q = stream.writeStream.format("memory").queryName("kept").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    expected = duckdb.sql(f"SELECT event_id FROM '{DATA}/events.parquet' WHERE value > 50 AND user_id BETWEEN 0 AND 100 AND value BETWEEN 0 AND 400").fetchall()
+    assert sorted(r[0] for r in spark.table("kept").collect()) == sorted(r[0] for r in expected)
+    with pytest.raises(EngineError):
+        select_stream(df, "SELECT * FROM events LIMIT 3")
+
+
+def test_all_core_queries_match_their_twins(spark):
+    from quarry import queries
+
+    con = duckdb.connect()
+    for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    twins = queries.oracle_sql()
+    assert shared_folder(spark).startswith("file:")
+    for name, query in queries.queries().items():
+        mine, other = query(spark, DATA).toPandas(), con.execute(twins[name]).df()
+        columns = sorted(mine.columns)
+        assert columns == sorted(other.columns), name
+        assert sorted(map(str, mine[columns].values.tolist())) == sorted(map(str, other[columns].values.tolist())), name
