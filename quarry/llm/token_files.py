@@ -10,8 +10,8 @@ A task names its files after its attempt, and the manifest holds only files that
 executor or a second attempt leaves nothing wrong behind.
 
 Texts are encoded whole. Where all words of a text are set apart by single spaces, every space begins a new pre-token
-of the byte-level splitter, so the library encodes each different word (with its space) once and the rest is lookup;
-any other text is given to it in one piece.
+of the byte-level splitter, so the library encodes each different word (with its space) once and the rest is lookup
+over a batch's dictionary of words; any other text is given to it in one piece.
 
 Defined results: a null text is an empty one, and still gets its end id. Null ids come first. Rows that repeat an id
 stay separate documents, ordered by their text. Very long texts need no special path. Empty input writes a manifest
@@ -22,12 +22,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +39,13 @@ from pyspark.sql import functions as F
 from quarry.llm.storage import bounded_batches
 
 END_ID = 0
-#: Words whose ids a worker remembers at most, before it starts afresh.
+#: Words after which a worker keeps only those used since then; it remembers twice as many at most, and a batch's.
 REMEMBERED = 300_000
 READ_ROWS = 5000
+#: Bytes of text that are encoded at a time, besides a batch.
+ENCODE_BYTES = 8 << 20
+#: Latin letters, and marks after them.
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 
 
 def place(path: str) -> tuple[pafs.FileSystem, str]:
@@ -66,58 +73,117 @@ def read_array(path: str, kind: np.dtype) -> np.ndarray:
 
 
 class WordEncoder:
-    """Token ids of whole texts as little-endian bytes, through the tokenizers library."""
+    """Token ids of whole texts through the tokenizers library."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(kind)
-        self.spaced: dict[str, bytes] = {}
+        self.model, self.end = self.tokenizer.model, np.array([end], kind).tobytes()
+        # bytes that print are shown as their Latin-1 characters, the others in turn as those from 256 on
+        prints = [33 <= c <= 126 or 161 <= c <= 172 or 174 <= c for c in range(256)]
+        self.shown = [chr(c) if prints[c] else chr(256 + c - sum(prints[:c])) for c in range(256)]
+        self.bytewise = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in encoded]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            words = t.split(" ")
-            plain = not any(not w or w[0].isspace() or w[-1].isspace() for w in words)
-            split.append(words if plain and len(words) > 1 else None)
-        spaced = self.spaced
-        if len(spaced) > REMEMBERED:
-            spaced.clear()
-        new = {w for words in split if words for w in words[1:]}
-        new = list(new - spaced.keys())
-        spaced.update(zip(new, self.ids([" " + w for w in new]), strict=True))
-        first = iter(self.ids([words[0] if words else t for words, t in zip(split, texts, strict=True)]))
-        return [b"".join([next(first), *[spaced[w] for w in words[1:]]]) if words else next(first) for words in split]
-
-
-_encoders: dict[tuple[str, str], WordEncoder] = {}
+        return self._cut([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _cut(self, lists: list[list[int]]) -> list[bytes]:
+        flat = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
+        edges = [0, *accumulate(len(x) * self.kind.itemsize for x in lists)]
+        return [flat[a:b] for a, b in pairwise(edges)]
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it. A space and Latin letters are one pre-token, and so are marks after
+        them: the model takes both as they are."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, words))
+        lists, parts, rest = [], [], []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = words[i]
+            if w in self.old:
+                out[i] = self.young[w] = self.old[w]
+            elif self.bytewise and (cut := LATIN.fullmatch(w)):
+                letters = cut[1] if w.isascii() else "".join([self.shown[c] for c in cut[1].encode()])
+                lists.append([t.id for t in self.model.tokenize("\u0120" + letters)])
+                if cut[2]:
+                    lists[-1] += [t.id for t in self.model.tokenize(cut[2])]
+                parts.append(i)
+            else:
+                rest.append(i)
+        found = [*self._cut(lists), *self.ids([" " + words[i] for i in rest])]
+        for i, x in zip([*parts, *rest], found, strict=True):
+            out[i] = self.young[words[i]] = x
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has."""
+        lists = pc.split_pattern(texts, " ")
+        starts, counts = np.asarray(lists.offsets)[:-1], np.diff(np.asarray(lists.offsets))
+        coded = lists.flatten().dictionary_encode()
+        words, code, rows = coded.dictionary.to_pylist(), np.asarray(coded.indices), np.arange(len(texts))
+        trimmed = pc.utf8_trim_whitespace(coded.dictionary)
+        odd = np.asarray(pc.or_(pc.equal(trimmed, ""), pc.not_equal(trimmed, coded.dictionary)))
+        whole = np.add.reduceat(odd[code].astype(np.int64), starts) > 0
+        heads = [words[c] for c in code[starts].tolist()]
+        for i, t in zip(np.flatnonzero(whole).tolist(), texts.filter(pa.array(whole)).to_pylist(), strict=True):
+            heads[i] = t
+        inner = ~np.repeat(whole, counts)
+        inner[starts] = False
+        used = np.flatnonzero(np.bincount(code[inner], minlength=len(words)))
+        place = np.zeros(len(words), np.int64)
+        place[used] = np.arange(len(used))
+        entries = [*self.spaced([words[i] for i in used.tolist()]), *self.ids(heads), self.end]
+        # a document is its head, its inner words and the end, each an entry
+        ends = np.cumsum(np.where(whole, 0, counts - 1) + 2)
+        begins = np.concatenate([[0], ends[:-1]])
+        order = np.full(ends[-1], -1)
+        order[begins], order[ends - 1] = len(used) + rows, len(entries) - 1
+        order[order < 0] = place[code[inner]]
+        sizes = np.array([len(x) for x in entries]) // self.kind.itemsize
+        at, many = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        stops = np.cumsum(many)
+        tokens = np.frombuffer(b"".join(entries), self.kind)
+        return tokens[np.repeat(at - stops + many, many) + np.arange(stops[-1])], np.add.reduceat(many, begins)
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ENCODE_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= ENCODE_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+_encoders: dict[tuple[str, str, int], WordEncoder] = {}
 
 
 def _write(folder: str, tokenizer: str, kind: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get((tokenizer, kind)) or _encoders.setdefault((tokenizer, kind), WordEncoder(tokenizer, kind))
+        key = (tokenizer, kind, end)
+        encoder = _encoders.get(key) or _encoders.setdefault(key, WordEncoder(*key))
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        stop, offsets, ids = np.array([end], kind).tobytes(), [np.zeros(1, np.int64)], []
+        offsets, ids = [np.zeros(1, np.int64)], []
         out, at = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in grouped(batches):
             if out is None:
                 fs, local = place(name)
                 fs.create_dir(os.path.dirname(local), recursive=True)
                 out = fs.open_output_stream(local + ".bin")
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            done = [x + stop for x in encoder.encode(texts)]
-            sizes = np.cumsum([len(x) // np.dtype(kind).itemsize for x in done])
-            out.write(b"".join(done))
-            offsets.append(at + sizes)
-            at += int(sizes[-1])
+            tokens, sizes = encoder.encode(batch.column("text").fill_null(""))
+            out.write(tokens.tobytes())
+            offsets.append(at + np.cumsum(sizes))
+            at += len(tokens)
             ids.append(batch.column("doc_id"))
         if out is None:
             return

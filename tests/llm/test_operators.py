@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -292,6 +293,12 @@ def test_token_files(spark, corpus):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert manifest["n_tokens"] == start
+    encoder = token_files.WordEncoder(path, "<u2", 0)
+    odd = ["", "a", " a", "a  b", "x\ny z", "don't 's it's a1 b' Tür, Straße!? é; x.y ,; ab1,", "a\n", "tab\tb c", "q \x1c u\u00a0 v\u2028w", "<|endoftext|> a <|endoftext|>", "漢字 ж, 🙂. a"]
+    for _ in range(2):  # new words, then remembered ones
+        tokens, sizes = encoder.encode(pa.array(odd))
+        assert tokens.tolist() == [i for t in odd for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+        assert sizes.sum() == len(tokens) and (sizes > 0).all()
     folder = fresh_path(spark, "tokens")
     assert token_files.write_tokens(empty(spark), folder, path)["parts"] == []
     assert token_files.read_tokens(spark, folder).collect() == []
