@@ -1,8 +1,8 @@
 """Quality rules: compression bands.
 
 Every whole text is compressed with zstandard, and so is each of its fixed chunks. Repetitive text compresses too well,
-incompressible text (keys, encoded data) hardly at all; both limits depend on the length, as a longer text compresses
-better. The base counts (words, symbols, repeated lines and windows) are exact and come first.
+incompressible text (keys, encoded data) hardly at all; both limits lie close to the ratios of running prose and depend
+on the length, as a longer text compresses better. The base counts (words, symbols, repeated lines and windows) are exact and come first.
 
 Defined results: a null or empty text has no words and fails the base rule. Every row is judged by itself, so ties,
 repeated rows and very long texts need nothing special. A null id is carried as null. Empty input gives an empty
@@ -22,11 +22,19 @@ from pyspark.sql import functions as F
 from quarry.llm.storage import bounded_batches
 from quarry.llm.textscan import Words, chunks, column_bytes
 
-#: Ratio limits (lowest, highest) of a whole text by the number of binary digits of its length in bytes; shorter texts
-#: than the first are not judged, longer ones than the last have its limits.
-WHOLE = {9: (1.05, 2.8), 10: (1.15, 2.9), 11: (1.25, 3.0), 12: (1.35, 3.2), 13: (1.4, 3.4), 14: (1.4, 3.6), 15: (1.4, 4.0)}
-#: Bytes of a chunk, and the limits of a full one.
-CHUNK, CHUNK_LIMITS = 4096, (1.3, 5.0)
+#: Robust deviations between the reference's prose and a limit.
+MARGIN = 5
+#: Ratio limits (lowest, highest) of a whole text of 2 ** k bytes by k, with straight lines in k between; shorter texts
+#: than the first are not judged, longer ones than the last have its limits. Up to 15 they are whole_limits() over all
+#: documents at sf0.1 that pass the base rule; the lowest also allows for two_languages() of them, which compress less.
+#: Beyond, where that table has six texts, the lowest stays and the highest goes on at its last slope.
+WHOLE = {
+    8: (1.14, 1.755), 9: (1.323, 1.846), 10: (1.584, 2.049), 11: (1.765, 2.189), 12: (1.92, 2.291), 13: (2.028, 2.401), 14: (2.035, 2.493),
+    15: (2.11, 2.581), 16: (2.11, 2.669), 17: (2.11, 2.757), 18: (2.11, 2.845), 19: (2.11, 2.933), 20: (2.11, 3.021),
+}
+_BITS, _LEAST, _MOST = np.array([(k, *v) for k, v in WHOLE.items()]).T
+#: Bytes of a chunk, and the limits of a full one: chunk_limits() over the same documents, likewise.
+CHUNK, CHUNK_LIMITS = 4096, (1.919, 2.305)
 LEVEL = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -66,11 +74,57 @@ def repeated_words(words: Words, size: int = 3) -> np.ndarray:
 
 def band_verdict(size: int, ratio: float, low: float, high: float) -> bool:
     """Whether the ratios of the whole text and of its chunks lie within their limits."""
-    digits = size.bit_length()
-    if digits < min(WHOLE):
+    if size < 2 ** min(WHOLE):
         return True
-    least, most = WHOLE[min(digits, max(WHOLE))]
-    return least <= ratio <= most and (low != low or (low >= CHUNK_LIMITS[0] and high <= CHUNK_LIMITS[1]))
+    least, most = (np.interp(np.log2(size), _BITS, limit) for limit in (_LEAST, _MOST))
+    return bool(least <= ratio <= most) and (low != low or (low >= CHUNK_LIMITS[0] and high <= CHUNK_LIMITS[1]))
+
+
+def two_languages(texts: list[bytes], languages: list[str]) -> list[bytes]:
+    """Texts of which one half is in one language and the other in another: every text with the next longer one of another."""
+    order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), texts[i]))
+    other: dict[str, int] = {}
+    out = []
+    for i in reversed(order):
+        j = min((at for x, at in other.items() if x != languages[i]), key=lambda at: len(texts[at]), default=None)
+        if j is not None:
+            half = len(texts[i]) // 2
+            out.append(texts[i][:half] + texts[j][:half])
+        other[languages[i]] = i
+    return out
+
+
+def whole_limits(sizes: np.ndarray, ratios: np.ndarray, languages: np.ndarray, knots: range = range(8, 16)) -> dict[int, tuple[float, float]]:
+    """WHOLE from a corpus: by language a line of least absolute deviations over log2 of the length, bent at the knots.
+
+    The limits lie MARGIN robust deviations (1.4826 times the median absolute one, by knot) below the lowest line and
+    above the highest. Medians bear a minority of faulty texts, so no labels are needed.
+    """
+    at = np.clip(np.log2(sizes), knots[0], knots[-1])
+    shape = np.stack([np.interp(at, knots, row) for row in np.eye(len(knots))], 1)
+    bend = 0.03 * np.diff(np.eye(len(knots)), 2, axis=0)  # carries a line on where a language has no text
+    away, lines = np.empty(len(sizes)), []
+    for language in np.unique(languages):
+        own = languages == language
+        x, y, weight = shape[own], ratios[own], np.ones(own.sum())
+        for _ in range(60):
+            root = np.sqrt(weight)
+            line = np.linalg.lstsq(np.vstack([x * root[:, None], bend]), np.r_[y * root, np.zeros(len(bend))])[0]
+            weight = 1 / np.maximum(np.abs(y - x @ line), 1e-3)
+            weight /= weight.max()
+        away[own] = np.abs(y - x @ line)
+        lines.append(line)
+    octave = np.minimum(at.astype(int), knots[-2])  # the last knot has the deviation of the octave below it
+    spread = np.array([1.4826 * np.median(away[octave == min(k, knots[-2])]) for k in knots])
+    low, high = np.min(lines, 0) - MARGIN * spread, np.max(lines, 0) + MARGIN * spread
+    return {k: (round(float(a), 3), round(float(b), 3)) for k, a, b in zip(knots, low, high, strict=True)}
+
+
+def chunk_limits(ratios: np.ndarray, languages: np.ndarray) -> tuple[float, float]:
+    """CHUNK_LIMITS from the ratios of full chunks, as whole_limits without the length."""
+    middle = {x: np.median(ratios[languages == x]) for x in np.unique(languages)}
+    spread = 1.4826 * np.median(np.abs(ratios - np.array([middle[x] for x in languages])))
+    return round(float(min(middle.values()) - MARGIN * spread), 3), round(float(max(middle.values()) + MARGIN * spread), 3)
 
 
 def ratios(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, float, float]:

@@ -202,6 +202,35 @@ def test_quality_bands_reject_both_ends():
     assert band_verdict(3, *ratios(b"abc", zstd))
 
 
+def test_quality_bands_fit_reference_prose(spark):
+    """The limits come from whole sf0.1 without labels; labels show that they decide beyond the base rule."""
+    import zstandard
+
+    from quarry.llm.quality_rules import CHUNK, CHUNK_LIMITS, WHOLE, chunk_limits, judge, two_languages, whole_limits
+
+    folder, zstd = DATA.replace("sf0.001", "sf0.1"), zstandard.ZstdCompressor(level=3)
+    docs = judge(spark.read.parquet(f"{folder}/documents.parquet")).toPandas().merge(pd.read_parquet(f"{folder}/documents.parquet"), on="doc_id")
+    docs["raw"] = [t.encode() for t in docs["text"].fillna("")]
+    docs["size"] = docs["raw"].map(len)
+    prose = docs[~docs["base_failed"] & (docs["size"] >= 256)]
+    once = prose.drop_duplicates("text")
+    texts, languages = once["raw"].tolist(), once["lang"].tolist()
+    full = [(t[i : i + CHUNK], x) for t, x in zip(texts, languages, strict=True) for i in range(0, len(t) - CHUNK + 1, CHUNK)]
+    mixed = [t for t in two_languages(texts, languages) if len(t) >= 256]
+    rate = lambda ts: np.array([len(t) / len(zstd.compress(t)) for t in ts])
+    fit = lambda ts, xs: whole_limits(np.array([len(t) for t in ts]), rate(ts), np.array(xs))
+    one, two = fit(texts, languages), fit(mixed, ["two"] * len(mixed))
+    for k in one:
+        assert (min(one[k][0], two[k][0]), one[k][1]) == pytest.approx(WHOLE[k], abs=0.01), k
+    chunks, own = [t for t, _ in full], [x for _, x in full]
+    pairs = two_languages(chunks, own)
+    low, high = chunk_limits(rate(chunks), np.array(own))
+    assert (min(low, chunk_limits(rate(pairs), np.array(["two"] * len(pairs)))[0]), high) == pytest.approx(CHUNK_LIMITS, abs=0.01)
+    labelled = prose.merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    kept = labelled.groupby("quality")["kept"].mean()
+    assert kept[1] > 0.998 and kept[0] < 0.4
+
+
 def test_quality_classifier(spark, corpus):
     from quarry.llm import quality_classifier as qc
 
