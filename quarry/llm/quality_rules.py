@@ -1,6 +1,7 @@
 """Quality rules: compression bands.
 
-Every whole text is compressed with zstandard, and so is each of its fixed chunks. Repetitive text compresses too well,
+Every whole text is compressed with zstandard, and so is each of its fixed chunks; where a remainder is left, the last
+chunk is the end of the text, so every byte of a text of a chunk or more lies in a judged one. Repetitive text compresses too well,
 incompressible text (keys, encoded data) hardly at all; both limits lie close to the ratios of running prose and depend
 on the length, as a longer text compresses better. The base counts (words, symbols, repeated lines and windows) are exact and come first.
 
@@ -128,11 +129,14 @@ def chunk_limits(ratios: np.ndarray, languages: np.ndarray) -> tuple[float, floa
 
 
 def ratios(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """(whole, lowest of chunks, highest of chunks); nan where there is none. Only full chunks count."""
+    """(whole, lowest of chunks, highest of chunks); nan where there is none. A remainder is judged in the last CHUNK bytes."""
     if not text:
         return float("nan"), float("nan"), float("nan")
     whole = len(text) / len(zstd.compress(text))
-    each = [CHUNK / len(zstd.compress(text[i : i + CHUNK])) for i in range(0, len(text) - CHUNK + 1, CHUNK)]
+    starts = [*range(0, len(text) - CHUNK + 1, CHUNK)]
+    if starts and len(text) % CHUNK:
+        starts.append(len(text) - CHUNK)
+    each = [CHUNK / len(zstd.compress(text[i : i + CHUNK])) for i in starts]
     return whole, min(each, default=float("nan")), max(each, default=float("nan"))
 
 

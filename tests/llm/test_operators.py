@@ -202,6 +202,27 @@ def test_quality_bands_reject_both_ends():
     assert band_verdict(3, *ratios(b"abc", zstd))
 
 
+@pytest.mark.parametrize("at", [0, 4096, 20480])
+def test_quality_bands_judge_the_remainder(spark, at):
+    """The same fault decides wherever it stands, also behind the last full chunk."""
+    import base64
+
+    import zstandard
+
+    from quarry.llm.quality_rules import band_verdict, ratios
+
+    rnd, zstd = random.Random(2), zstandard.ZstdCompressor(level=3)
+    texts = [t.encode() for t in pd.read_parquet(DATA.replace("sf0.001", "sf0.1") + "/documents.parquet").query("lang == 'en' and n_chars > 20480")["text"]]
+    prose = next(t for t in texts if band_verdict(20480, *ratios(t[:20480], zstd)))[:20480]
+    for junk in (bytes(rnd.choices(range(33, 127), k=2000)), base64.b64encode(rnd.randbytes(1500)), b"again " * 400):
+        text = prose[:at] + junk + prose[at:]
+        low, high = ratios(text, zstd)[1:]
+        assert not band_verdict(len(text), *ratios(text, zstd)), (at, low, high)
+    for size in (4096, 4097, 8191, 20000):
+        assert band_verdict(size, *ratios(prose[:size], zstd)), size
+    assert ratios(prose[:4000], zstd)[1] != ratios(prose[:4000], zstd)[1]
+
+
 def test_quality_bands_fit_reference_prose(spark):
     """The limits come from whole sf0.1 without labels; labels show that they decide beyond the base rule."""
     import zstandard
