@@ -114,6 +114,35 @@ def test_jaccard_keeps_one_of_each_group(spark, corpus):
     assert jaccard_groups.jaccard_components(empty(spark)).collect() == []
 
 
+def test_jaccard_repeated_ids_with_different_texts(spark):
+    """Rows of one id with different texts are documents of their own, in one cell and across cells."""
+    from quarry.llm import jaccard_groups
+
+    rnd, rows = random.Random(8), []
+    for family in range(12):
+        words = [f"f{family}x{i}" for i in range(80)]
+        for _ in range(12):
+            rows.append((rnd.randrange(30), " ".join(words)))
+            words = list(words)
+            for _ in range(rnd.randint(0, 2)):
+                words[rnd.randrange(len(words))] = f"n{rnd.randrange(10**6)}"
+    rows += [(500, f"lone text {i} with words of its own") for i in range(3)] + [(501, ""), (501, None), (501, "five words and one more"), (3, rows[0][1].upper())]
+    sets = [shingles(t) for _, t in rows]
+    linked = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    # rows without a shingle link with nothing, but equal rows of an id are one
+    root = components(range(len(rows)), [*linked, *[(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] and sets[i] == sets[j]]])
+    least = defaultdict(lambda: 1 << 60)
+    for i, (doc, _) in enumerate(rows):
+        least[root[i]] = min(least[root[i]], doc)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard_groups.jaccard_components(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter((d, len(sets[i]), least[root[i]]) for i, (d, _) in enumerate(rows))
+    kept = jaccard_groups.one_of_each_group(df).collect()
+    at = {row: root[i] for i, row in enumerate(rows)}
+    assert Counter(at[(r.doc_id, r.text)] for r in kept) == Counter(set(root.values()))
+    assert all(r.doc_id == least[at[(r.doc_id, r.text)]] for r in kept)
+
+
 def test_jaccard_tiny_difference_at_threshold(spark):
     from quarry.llm.jaccard_groups import jaccard_components
 
