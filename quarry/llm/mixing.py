@@ -14,7 +14,8 @@ No source is gathered in one task: words are summed over (source, rank bin), the
 only the documents of that bin (1/4096 of a source) are put in order.
 
 Defined results: a null or empty text has size 0 and contributes nothing. A null source is a source of its own, the
-last. A null id is drawn by its text. Repeated rows share one draw. Ties of rank are broken by id. Empty input gives an
+last. A null id is drawn by its text. Repeated rows share one draw; if the cut falls among them, only so many of them are
+taken as come closest to the target. Ties of rank are broken by id and size. Empty input gives an
 empty result. Input columns whose names clash with the outputs are not carried; ``mixed_documents`` carries them all.
 """
 
@@ -87,7 +88,7 @@ def source_targets(by_source: DataFrame, weights: tuple = WEIGHTS, share: float
 
 
 def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row a source: source, source_size, target, theta, and the last (rank, id) that the draw takes."""
+    """One row a source: source, source_size, target, theta, the last (rank, id, size) that the draw takes, and how many of its rows, if not all."""
     sized = materialize(_sized(docs, doc_id, text, source), "mix-sizes")
     classes = materialize(sized.groupBy("source", "k").agg(F.sum("size").alias("words")), "mix-classes")
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -114,12 +115,16 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     )
     cuts = materialize(bins.groupBy("source").agg(F.max_by(F.struct("bin", "before", "need"), "bin").alias("cut")).select("source", "cut.*"), "mix-cuts")
     edge = _with_sources(ranked.drop("target"), cuts.withColumnRenamed("bin", "cut_bin"), sources).where("bin = cut_bin")
-    order = Window.partitionBy("source").orderBy("rank", "id")
-    edge = edge.withColumn("middle", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2.0)
-    last = edge.where("middle <= need").groupBy("source").agg(F.max(F.struct("rank", "id")).alias("last"))
+    # equal rows are summed first, and the cut among them is worked out, so a group of any size is one row here
+    edge = edge.groupBy("source", "rank", "id", "size", "before", "need").agg(F.count("*").alias("rows"))
+    order = Window.partitionBy("source").orderBy("rank", "id", "size")
+    edge = edge.withColumn("words", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edge = edge.withColumn("fit", F.least(F.col("rows"), F.floor((F.col("need") - F.col("words")) / F.col("size") + 0.5)))
+    last = edge.where("fit > 0").groupBy("source").agg(F.max_by(F.struct(F.struct("rank", "id", "size").alias("last"), F.when(F.col("fit") < F.col("rows"), F.col("fit")).alias("fit")), F.struct("rank", "id", "size")).alias("found"))
+    last = last.select("source", "found.*")
     s, x, y = per_source.alias("s"), cuts.alias("x"), last.alias("y")
     plan = s.join(x, F.expr("s.source <=> x.source"), "left").join(y, F.expr("s.source <=> y.source"), "left")
-    return materialize(plan.select("s.source", "s.source_size", "s.target", "s.theta", F.expr("x.bin AS cut_bin"), "y.last"), "mix-plan")
+    return materialize(plan.select("s.source", "s.source_size", "s.target", "s.theta", F.expr("x.bin AS cut_bin"), "y.last", "y.fit"), "mix-plan")
 
 
 def _with_sources(df: DataFrame, per_source: DataFrame, sources: int) -> DataFrame:
@@ -128,16 +133,34 @@ def _with_sources(df: DataFrame, per_source: DataFrame, sources: int) -> DataFra
     return df.join(right, df["source"].eqNullSafe(right["its_source"])).drop("its_source")
 
 
-def _copies() -> Column:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with nth, their number within their source, without gathering a source in one task."""
+    rows = materialize(rows.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "mix-ties")
+    parts = rows.groupBy("source", "part").agg(F.count("*").alias("many"))
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("source").alias("its_source"), F.col("part").alias("its_part"), F.coalesce(F.sum("many").over(upto), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("source", "part").orderBy("place"))
+    met = rows.withColumn("own", own).join(parts, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("part") == F.col("its_part")))
+    return met.withColumn("nth", F.col("offset") + F.col("own")).drop("part", "place", "own", "its_source", "its_part", "offset")
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Whole copies plus the drawn one: all bins before the cut's, and in it the order up to its last."""
-    drawn = F.col("rank").isNotNull() & F.col("cut_bin").isNotNull() & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.struct("rank", "id") <= F.col("last"))))
-    return (F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("int")).cast("long")
+    rows = _ranked(_with_sources(rows, plan, plan.count()))
+    at = F.struct("rank", "id", "size")
+    drawn = F.col("rank").isNotNull() & F.col("cut_bin").isNotNull() & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (at <= F.col("last"))))
+    copies = lambda taken: (F.col("whole") + F.coalesce(taken, F.lit(False)).cast("int")).cast("long")
+    if plan.where("fit IS NOT NULL").isEmpty():
+        return rows.withColumn("copies", copies(drawn))
+    tied = F.coalesce(drawn & (F.col("bin") == F.col("cut_bin")) & F.col("fit").isNotNull() & (at >= F.col("last")), F.lit(False))
+    cut = _numbered(rows.where(tied)).withColumn("copies", copies(F.col("nth") <= F.col("fit"))).drop("nth")
+    return rows.where(~tied).withColumn("copies", copies(drawn)).unionByName(cut)
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken."""
     plan = plan_mix(docs, weights, share, most, doc_id, text, source)
-    out = _ranked(_with_sources(_sized(docs, doc_id, text, source), plan, plan.count())).withColumn("copies", _copies())
+    out = _with_copies(_sized(docs, doc_id, text, source), plan)
     return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -145,5 +168,5 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     """The mixed corpus itself: every document as often as the mix takes it, with the columns of docs."""
     plan = plan_mix(docs, weights, share, most)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source"), word_count("text").alias("size"), _draw("doc_id", "text").alias("u")).withColumn("k", _class("size"))
-    out = _ranked(_with_sources(row, plan, plan.count())).withColumn("copies", _copies())
+    out = _with_copies(row, plan)
     return out.where("copies > 0 AND size > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -444,6 +444,26 @@ def test_mixing_twin_and_targets(spark, corpus):
     assert mixing.mix(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("doc", [None, 7])
+def test_mixing_cuts_among_repeated_rows(spark, doc):
+    """A source of equal rows meets its target to a row, as the SQL twin does."""
+    from quarry.llm import mixing
+    from quarry.llm.queries import MIXING_SQL
+
+    rows = [(doc, "the same ten words in all rows of this group", "en", "s1", 1)] * 300
+    rows += [(doc, "three more words", "en", None, 1)] * 40 + [(1000 + i, f"a b c {i} " * (i % 9 + 1), "en", "s2", 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    out = mixing.mix(docs).toPandas()
+    assert len(out) == len(rows)
+    for _, own in out.groupby("source", dropna=False):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= own["size"].max()
+    other = twin(MIXING_SQL, documents=pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"}))
+    key = lambda d: Counter(zip(d["source"].fillna("-"), d["size"], d["copies"], strict=True))
+    assert key(out) == key(other)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == out["copies"].sum()
+
+
 @pytest.mark.parametrize("name", ["op3_url_filters", "op8_sharding", "op9_mixing"])
 def test_twins_on_given_tables(spark, name):
     from quarry.llm import queries
