@@ -407,6 +407,13 @@ def test_sentencepiece_equals_the_library(spark, corpus):
     assert sp_fst.encode_documents(empty(spark), path).collect() == []
 
 
+def test_sentencepiece_query_returns_ids(spark):
+    from quarry.llm import queries
+
+    for r in queries.op7_sentencepiece(spark, DATA).limit(20).collect():
+        assert len(r.ids) == r.n_tokens and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+
+
 def test_sharding_twin_and_stability(spark, corpus):
     from quarry.llm import queries, sharding
 
