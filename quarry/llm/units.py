@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are worked on together, besides a batch.
+GROUP_BYTES = 8 << 20
+
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of the consecutive rows with an equal key, across batch borders."""
@@ -30,6 +33,25 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold size bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def gathered(at: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The indices at, at + 1, ... of many values from each place, one run after another."""
+    stops = np.cumsum(many)
+    return np.repeat(at - stops + many, many) + np.arange(stops[-1] if len(stops) else 0)
+
+
 class Forest:
     """Union-find over 0 to n - 1, rooted at the least member."""
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, libraries, SQL twins and labels, on small fixtures."""
 
+import functools
 import random
 import re
 import zlib
@@ -383,7 +384,16 @@ def test_token_files(spark, corpus):
     assert token_files.read_tokens(spark, folder).collect() == []
 
 
-def test_sentencepiece_equals_the_library(spark, corpus):
+ODD_TEXTS = ["", " ", "   ", "a  b", "  lead", "trail  ", "tab\tnew\n\nline", " \n \n", "ÄÖ ß 漢字 🙂 ​", "▁mark ▁▁x", "0123456789", "\x00\x7f", "é", "aaaa" * 50, "漢" * 3000, "x" * 70000]
+
+
+def odd_texts(seed, number=400):
+    rnd = random.Random(seed)
+    return ODD_TEXTS + ["".join(rnd.choices("abcde  \n.,ÄéЖ漢🙂▁0", k=rnd.randint(1, 60))) for _ in range(number)]
+
+
+@pytest.mark.parametrize("remembered", [600_000, 50])
+def test_sentencepiece_equals_the_library(spark, corpus, monkeypatch, remembered):
     from sentencepiece import SentencePieceProcessor
 
     from quarry.llm import sp_fst
@@ -391,27 +401,123 @@ def test_sentencepiece_equals_the_library(spark, corpus):
 
     path = tokenizer_file("piece_bpe_32k.model")
     sp = SentencePieceProcessor(model_file=path)
-    rnd = random.Random(4)
-    odd = ["a  b", "  lead", "trail  ", "tab\tnew\n\nline", "ÄÖ ß 漢字 🙂 ​", "▁mark ▁▁x", "0123456789", "\x00\x7f", "é", "aaaa" * 50]
-    odd += ["".join(rnd.choices("abcde  \n.,ÄéЖ漢🙂▁0", k=rnd.randint(1, 60))) for _ in range(400)]
-    texts = [r[1] for r in corpus[1]] + odd
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    texts = [r[1] for r in corpus[1]] + odd_texts(4)
+    monkeypatch.setattr(sp_fst, "REMEMBERED", remembered)
+    monkeypatch.setattr(sp_fst, "BLOCK", 5000)
+    t = sp_fst.Transducer(sp_fst.read_model(path))
+    for lo in range(0, len(texts), 100):
+        some = texts[lo : lo + 100]
+        normal = t.normal(pa.array(some))
+        ids, counts = t.encode(normal)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [sp.encode(x or "") for x in some]
+        assert t.decode(ids, counts).to_pylist() == [(x or "").replace("▁", " ") for x in some]
+
+
+def test_sentencepiece_rows(spark, corpus):
+    """Null and repeated ids, clashing columns, and ids that are no text."""
+    from sentencepiece import SentencePieceProcessor
+
+    from quarry.llm import sp_fst
+    from quarry.llm.queries import tokenizer_file
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    sp = SentencePieceProcessor(model_file=path)
+    rows = [(i, t, 1, "x") for i, t in enumerate(odd_texts(5, 20))] + [(None, "no id", 1, None), (None, None, None, None), (3, "again", 1, None), (3, "again", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids string").repartition(3)
     encoded = sp_fst.encode_documents(df, path)
-    got = {r.doc_id: r for r in encoded.collect()}
-    for i, t in enumerate(texts):
-        ids = sp.encode(t or "")
-        assert list(got[i].ids) == ids, repr(t)
-        assert got[i].n_tokens == len(ids) and got[i].round_trip
-    back = {r.doc_id: r.text for r in sp_fst.decode_documents(encoded, path).collect()}
-    assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts))
-    assert sp_fst.encode_documents(empty(spark), path).collect() == []
+    out = encoded.collect()
+    key = lambda i, t: (i, tuple(sp.encode(t or "")), (t or "").replace("▁", " "))
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in out) == Counter(key(i, t) for i, t, *_ in rows)
+    assert all(r.n_tokens == len(r.ids) and r.round_trip and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in out)
+    back = sp_fst.decode_documents(encoded, path).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.decoded) for r in out)
+    strange = spark.createDataFrame([(1, None), (2, []), (3, [1, 2, 0]), (4, [sp.piece_to_id("<0xC3>")]), (5, sp.encode("plain"))], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in sp_fst.decode_documents(strange, path).collect()} == {1: "", 2: "", 3: "⁇ ", 4: "�", 5: "plain"}
+    assert sp_fst.encode_documents(df.where("false"), path).collect() == []
+
+
+def _varint(n):
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number, value):
+    if isinstance(value, bytes):
+        return _varint(number << 3 | 2) + _varint(len(value)) + value
+    if isinstance(value, float):
+        return _varint(number << 3 | 5) + np.float32(value).tobytes()
+    return _varint(number << 3) + _varint(value)
+
+
+def unigram_model(pieces, fallback=1):
+    """A serialised unigram model, from given pieces and scores."""
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256 * fallback)] + [(p, w, 1) for p, w in pieces.items()]
+    parts = [_field(1, _field(1, p.encode()) + _field(2, w) + _field(3, k)) for p, w, k in listed]
+    return b"".join([*parts, _field(2, _field(3, 1) + _field(35, fallback)), _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, 0) + _field(5, 1))])
+
+
+def test_sentencepiece_unigram_by_least_weight():
+    """Without a constraint the tropical weights alone decide, as in the library and by trying all paths."""
+    from sentencepiece import SentencePieceProcessor
+
+    from quarry.llm import sp_fst
+
+    rnd = random.Random(6)
+    pieces = {c: -6 - rnd.random() for c in "▁abcdeÄé."}
+    while len(pieces) < 160:
+        pieces[rnd.choice(["", "▁"]) + "".join(rnd.choices("abcdeÄé", k=rnd.randint(1, 5)))] = -3 - 9 * rnd.random()
+    model = unigram_model(pieces)
+    sp, t = SentencePieceProcessor(model_proto=model), sp_fst.Transducer(model)
+    assert not t.merging
+    texts = odd_texts(7, 300) + ["".join(rnd.choices("abcdeÄé ", k=12)) for _ in range(300)]
+    normal = t.normal(pa.array(texts))
+    ids, counts = t.encode(normal)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [sp.encode(x) for x in texts]
+    assert t.decode(ids, counts).to_pylist() == normal.to_pylist()
+
+    @functools.cache
+    def least(rest):
+        return min((-pieces[rest[:k]] + least(rest[k:]) for k in range(1, len(rest) + 1) if rest[:k] in pieces), default=0.0 if not rest else float("inf"))
+
+    for text in ["".join(rnd.choices("abcdeÄé ", k=9)) for _ in range(100)]:
+        ids, _ = t.encode(pa.array([text]))
+        assert sum(t.weight[ids]) == pytest.approx(least("▁" + text.replace(" ", "▁")), abs=1e-4)
+
+
+def test_sentencepiece_constraint_is_what_merging_leaves():
+    from quarry.llm import sp_fst
+    from quarry.llm.queries import tokenizer_file
+
+    t, rnd = sp_fst.Transducer(sp_fst.read_model(tokenizer_file("piece_bpe_32k.model"))), random.Random(3)
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            weights = [(t.arcs.get(a + b, (0, float("inf")))[1], i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            if not weights or min(weights)[0] == float("inf"):
+                return parts
+            at = min(weights)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    common = [p for p in list(t.arcs)[:4000] if p.strip("▁").isalpha()]
+    pairs = [(rnd.choice(common), rnd.choice(common)) for _ in range(3000)]
+    got = [t.adjacent(t.arcs[a][0], t.arcs[b][0]) for a, b in pairs]
+    assert got == [merged(a + b) == [a, b] for a, b in pairs]
+    assert 0.05 < np.mean(got) < 0.95
+    with pytest.raises(ValueError):
+        sp_fst.Transducer(unigram_model({"a": -1.0}, fallback=0))
 
 
-def test_sentencepiece_query_returns_ids(spark):
+def test_sentencepiece_query_returns_ids_and_texts(spark):
     from quarry.llm import queries
 
-    for r in queries.op7_sentencepiece(spark, DATA).limit(20).collect():
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in queries.op7_sentencepiece(spark, DATA).collect():
         assert len(r.ids) == r.n_tokens and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert r.decoded == texts[r.doc_id]
 
 
 def test_sharding_twin_and_stability(spark, corpus):
