@@ -1,32 +1,34 @@
 """Token-ID files: flat unsigned integers with 64-bit document offsets, memory-mapped.
 
-Documents are dealt to partitions by ranges of their id and sorted in each. A task writes three flat little-endian
-files: ``.bin`` (token ids, uint16 where the vocabulary allows, else uint32), ``.idx`` (int64, number of documents + 1
-offsets from the part's start) and ``.ids`` (int64 document ids, with ``.nul``, a byte each, for null ids). The driver
-gets one row a part, orders the parts by their first id, and turns their token counts into bases by prefix sums; part
-base + local offset is a document's place in the whole corpus. The manifest lists the parts and their bases.
+Documents are dealt to partitions by ranges of their id and sorted in each; ranges also tell apart rows of one id, by a
+hash of the text and the row's place in the input, so an id (or the null id) of any number of rows fills many parts. A
+task writes three flat little-endian files: ``.bin`` (token ids, uint16 where the vocabulary allows, else uint32),
+``.idx`` (int64, number of documents + 1 offsets from the part's start) and ``.ids`` (int64 document ids, with
+``.nul``, a byte each, for null ids). The driver gets one row a part, in the order of partitions, and turns their token
+counts into bases by prefix sums; part base + local offset is a document's place in the whole corpus. The manifest
+lists the parts and their bases. Reading maps the files where their file system is mounted; elsewhere it reads ranges.
 
 A task names its files after its attempt, and the manifest holds only files that a finished task reported, so a lost
 executor or a second attempt leaves nothing wrong behind.
 
-Texts are encoded whole. Where all words of a text are set apart by single spaces, every space begins a new pre-token
-of the byte-level splitter, so the library encodes each different word (with its space) once and the rest is lookup
-over a batch's dictionary of words; any other text is given to it in one piece.
+Texts are encoded whole, through the tokenizers library. For its byte-level splitter they are first cut where a new
+pre-token begins whatever stands around (see ``cuts``); the library encodes each different cut of a batch that a worker
+does not remember, and the rest is lookup. Runs of Latin letters go to the library's merge model many at a time, behind
+a space or line break each, which no token has after a letter. Texts with white space beyond ASCII or with the string
+of an added token, and all texts under another splitter, are given to the library in one piece.
 
 Defined results: a null text is an empty one, and still gets its end id. Null ids come first. Rows that repeat an id
-stay separate documents, ordered by their text. Very long texts need no special path. Empty input writes a manifest
-without parts and reads back as an empty table. Only the id and text columns are read.
+stay separate documents, ordered by a hash of their text. A very long text is a batch of its own. Empty input writes a
+manifest without parts and reads back as an empty table. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +39,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.storage import bounded_batches
+from quarry.llm.textscan import column_bytes
+from quarry.llm.units import Remembered, gathered, grouped, tiled
 
 END_ID = 0
-#: Words after which a worker keeps only those used since then; it remembers twice as many at most, and a batch's.
-REMEMBERED = 300_000
-READ_ROWS = 5000
-#: Bytes of text that are encoded at a time, besides a batch.
-ENCODE_BYTES = 8 << 20
-#: Latin letters, and marks after them.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+#: Cuts that a worker remembers; cuts that go to the merge model at a time; tokens that are read at a time.
+REMEMBERED, JOINED, READ_TOKENS = 600_000, 100, 2_000_000
+#: A run of Latin letters, and white space beyond ASCII's.
+LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Kinds of bytes.
+OTHER, BREAK, SPACE, LETTER, DIGIT, SIGN, QUOTE = range(7)
+
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[9:14], _KIND[32], _KIND[33:127] = BREAK, SPACE, SIGN
+_KIND[48:58], _KIND[39] = DIGIT, QUOTE
+_KIND[65:91] = _KIND[97:123] = LETTER
+_CUT = np.zeros((7, 7), bool)
+_CUT[[OTHER, LETTER, DIGIT, SIGN, QUOTE], BREAK] = _CUT[[OTHER, LETTER, DIGIT, SIGN, QUOTE], SPACE] = True
+_CUT[LETTER, [DIGIT, SIGN, QUOTE]] = _CUT[DIGIT, [LETTER, SIGN, QUOTE]] = _CUT[SIGN, [LETTER, DIGIT]] = True
 
 
 def place(path: str) -> tuple[pafs.FileSystem, str]:
@@ -63,114 +75,150 @@ def write_file(path: str, data: bytes) -> None:
         out.write(data)
 
 
-def read_array(path: str, kind: np.dtype) -> np.ndarray:
-    """A file's values: mapped where the file system is mounted, else read."""
-    fs, local = place(path)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(local, kind, "r") if os.path.getsize(local) else np.empty(0, kind)
-    with fs.open_input_file(local) as f:
-        return np.frombuffer(f.read(), kind)
-
-
-class WordEncoder:
+class Values:
+    """A file of numbers: mapped where the file system is mounted, else read by ranges."""
+
+    def __init__(self, path: str, kind: str):
+        self.kind = np.dtype(kind)
+        fs, local = place(path)
+        self.mapped = isinstance(fs, pafs.LocalFileSystem)
+        if self.mapped:
+            self.values = np.memmap(local, self.kind, "r") if os.path.getsize(local) else np.empty(0, self.kind)
+        else:
+            self.file = fs.open_input_file(local)
+            self.many = self.file.size() // self.kind.itemsize
+
+    def __len__(self) -> int:
+        return len(self.values) if self.mapped else self.many
+
+    def read(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        hi = len(self) if hi is None else hi
+        return self.values[lo:hi] if self.mapped else np.frombuffer(self.file.read_at((hi - lo) * self.kind.itemsize, lo * self.kind.itemsize), self.kind)
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the cuts of UTF-8 texts begin: places at which the byte-level splitter begins a new pre-token, and before
+    and after which it does the same without the rest of the text.
+
+    A run of white space belongs to nothing before it. In front of a word its last character stands alone, or with the
+    word if it is a space; the others are one pre-token, as a run at a text's end is. Letters, digits and signs follow
+    one another in different pre-tokens. An apostrophe may take letters behind it, so it is not parted from them.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))  # À to ɏ, but for the two signs among them
+    lead = lead[(data[lead] != 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7))]
+    kind[lead] = kind[lead + 1] = LETTER
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = _CUT[kind[:-1], kind[1:]]
+    blank = (kind == BREAK) | (kind == SPACE)
+    before = blank[:-1] & ~blank[1:]
+    before[first[1:] - 1] = False
+    before = np.flatnonzero(before)
+    begins[before] = True
+    begins[before[kind[before] == BREAK] + 1] = True
+    begins[first] = True
+    return np.flatnonzero(begins)
+
+
+class TextEncoder:
     """Token ids of whole texts through the tokenizers library."""
 
-    def __init__(self, path: str, kind: str, end: int):
+    def __init__(self, spec: str, kind: str, end: int):
+        """spec: a tokenizer's file."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(kind)
-        self.model, self.end = self.tokenizer.model, np.array([end], kind).tobytes()
+        self.tokenizer, self.kind, self.end = Tokenizer.from_str(spec), np.dtype(kind), end
+        self.model, self.known = self.tokenizer.model, Remembered(REMEMBERED, self.kind)
+        parts = json.loads(spec)
+        split, model = parts["pre_tokenizer"] or {}, parts["model"]
+        own = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        plain = parts["normalizer"] is None and not parts.get("truncation") and not parts.get("padding")
+        self.bytewise = plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.added = [t["content"] for t in parts["added_tokens"]]
         # bytes that print are shown as their Latin-1 characters, the others in turn as those from 256 on
         prints = [33 <= c <= 126 or 161 <= c <= 172 or 174 <= c for c in range(256)]
-        self.shown = [chr(c) if prints[c] else chr(256 + c - sum(prints[:c])) for c in range(256)]
-        self.bytewise = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return self._cut([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-
-    def _cut(self, lists: list[list[int]]) -> list[bytes]:
-        flat = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
-        edges = [0, *accumulate(len(x) * self.kind.itemsize for x in lists)]
-        return [flat[a:b] for a, b in pairwise(edges)]
-
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it. A space and Latin letters are one pre-token, and so are marks after
-        them: the model takes both as they are."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        out = list(map(self.young.get, words))
-        lists, parts, rest = [], [], []
-        for i in [i for i, x in enumerate(out) if x is None]:
-            w = words[i]
-            if w in self.old:
-                out[i] = self.young[w] = self.old[w]
-            elif self.bytewise and (cut := LATIN.fullmatch(w)):
-                letters = cut[1] if w.isascii() else "".join([self.shown[c] for c in cut[1].encode()])
-                lists.append([t.id for t in self.model.tokenize("\u0120" + letters)])
-                if cut[2]:
-                    lists[-1] += [t.id for t in self.model.tokenize(cut[2])]
-                parts.append(i)
-            else:
-                rest.append(i)
-        found = [*self._cut(lists), *self.ids([" " + words[i] for i in rest])]
-        for i, x in zip([*parts, *rest], found, strict=True):
-            out[i] = self.young[words[i]] = x
-        return out
+        self.shown = {c: chr(c) if prints[c] else chr(256 + c - sum(prints[:c])) for c in range(256)}
+        self.space, self.line = self.shown[32], self.shown[10]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] in (self.space, self.line)]] = True
+        # runs of letters may stand in one text if no merge crosses the space or line break between them
+        letters = {self.shown[c] for c in (*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA))}
+        self.joins = model["type"] == "BPE" and own
+        for pair in model["merges"] if self.joins else ():
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            after = right[0] in (self.space, self.line) and left[-1] in letters and letters.issuperset(left[1:])
+            self.joins &= not after and not (left[-1] == self.line and right[0] in letters)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text by itself, and how many it has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in lists for i in x], self.kind), np.array([len(x) for x in lists], np.int64)
+
+    def letters(self, texts: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """As ids, for runs of letters: with a space in front, or without (mark: a line break to put there)."""
+        found: list[int] = []
+        for lo in range(0, len(texts), JOINED):
+            text = mark + mark.join(texts[lo : lo + JOINED])
+            shown = text.replace(" ", self.space).replace("\n", self.line) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+            found += [t.id for t in self.model.tokenize(shown)]
+        ids = np.array(found, self.kind)
+        first = np.flatnonzero(self.begins[ids])
+        sizes = np.diff(np.append(first, len(ids)))
+        return (np.delete(ids, first), sizes - 1) if mark else (ids, sizes)
+
+    def work_out(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        strings = strings.cast(pa.string())
+        run = np.asarray(pc.match_substring_regex(strings, LATIN)) & self.joins
+        spaced = np.asarray(pc.starts_with(strings, " "))
+        order, ids, sizes = [], [], []
+        for some, encode in ((run & spaced, lambda x: self.letters(x, "")), (run & ~spaced, lambda x: self.letters(x, "\n")), (~run, self.ids)):
+            if some.any():
+                order.append(np.flatnonzero(some))
+                found = encode(strings.filter(pa.array(some)).to_pylist())
+                ids.append(found[0])
+                sizes.append(found[1])
+        ids, sizes, back = np.concatenate(ids), np.concatenate(sizes), np.argsort(np.concatenate(order))
+        return ids[gathered((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and how many each has."""
-        lists = pc.split_pattern(texts, " ")
-        starts, counts = np.asarray(lists.offsets)[:-1], np.diff(np.asarray(lists.offsets))
-        coded = lists.flatten().dictionary_encode()
-        words, code, rows = coded.dictionary.to_pylist(), np.asarray(coded.indices), np.arange(len(texts))
-        trimmed = pc.utf8_trim_whitespace(coded.dictionary)
-        odd = np.asarray(pc.or_(pc.equal(trimmed, ""), pc.not_equal(trimmed, coded.dictionary)))
-        whole = np.add.reduceat(odd[code].astype(np.int64), starts) > 0
-        heads = [words[c] for c in code[starts].tolist()]
-        for i, t in zip(np.flatnonzero(whole).tolist(), texts.filter(pa.array(whole)).to_pylist(), strict=True):
-            heads[i] = t
-        inner = ~np.repeat(whole, counts)
-        inner[starts] = False
-        used = np.flatnonzero(np.bincount(code[inner], minlength=len(words)))
-        place = np.zeros(len(words), np.int64)
-        place[used] = np.arange(len(used))
-        entries = [*self.spaced([words[i] for i in used.tolist()]), *self.ids(heads), self.end]
-        # a document is its head, its inner words and the end, each an entry
-        ends = np.cumsum(np.where(whole, 0, counts - 1) + 2)
-        begins = np.concatenate([[0], ends[:-1]])
-        order = np.full(ends[-1], -1)
-        order[begins], order[ends - 1] = len(used) + rows, len(entries) - 1
-        order[order < 0] = place[code[inner]]
-        sizes = np.array([len(x) for x in entries]) // self.kind.itemsize
-        at, many = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        stops = np.cumsum(many)
-        tokens = np.frombuffer(b"".join(entries), self.kind)
-        return tokens[np.repeat(at - stops + many, many) + np.arange(stops[-1])], np.add.reduceat(many, begins)
-
-
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they hold ENCODE_BYTES."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.nbytes for b in held) >= ENCODE_BYTES:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
-_encoders: dict[tuple[str, str, int], WordEncoder] = {}
-
-
-def _write(folder: str, tokenizer: str, kind: str, end: int):
+        whole = np.full(len(texts), not self.bytewise)
+        if self.bytewise:
+            whole |= np.asarray(pc.match_substring_regex(texts, ODD_SPACE))
+            for string in self.added:
+                whole |= np.asarray(pc.match_substring(texts, string))
+        data, offsets, _ = column_bytes(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        ids, sizes = np.empty(0, self.kind), np.zeros(len(texts), np.int64)
+        if len(data):
+            starts = cuts(data, offsets)
+            coded = tiled(data, starts).dictionary_encode()
+            ids, many = self.known.joined(self.known.find(coded.dictionary, self.work_out)[np.asarray(coded.indices)])
+            sizes = np.diff(np.concatenate([[0], np.cumsum(many)])[np.searchsorted(starts, offsets)])
+        at = np.flatnonzero(whole)
+        apart, apart_sizes = self.ids(texts.filter(pa.array(whole)).to_pylist()) if len(at) else (ids[:0], sizes[:0])
+        totals = sizes + 1
+        totals[at] += apart_sizes
+        stops = np.cumsum(totals)
+        out = np.full(stops[-1] if len(stops) else 0, self.end, self.kind)
+        out[gathered(stops - totals, sizes)] = ids
+        out[gathered((stops - totals)[at], apart_sizes)] = apart
+        return out, totals
+
+
+_encoders: dict[tuple[str, str, int], TextEncoder] = {}
+
+
+def _write(folder: str, spec: str, kind: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer, kind, end)
-        encoder = _encoders.get(key) or _encoders.setdefault(key, WordEncoder(*key))
+        key = (spec, kind, end)
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = TextEncoder(*key)
+        encoder = _encoders[key]
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         offsets, ids = [np.zeros(1, np.int64)], []
@@ -181,7 +229,7 @@ def _write(folder: str, tokenizer: str, kind: str, end: int):
                 fs.create_dir(os.path.dirname(local), recursive=True)
                 out = fs.open_output_stream(local + ".bin")
             tokens, sizes = encoder.encode(batch.column("text").fill_null(""))
-            out.write(tokens.tobytes())
+            out.write(tokens.data)
             offsets.append(at + np.cumsum(sizes))
             at += len(tokens)
             ids.append(batch.column("doc_id"))
@@ -189,26 +237,26 @@ def _write(folder: str, tokenizer: str, kind: str, end: int):
             return
         out.close()
         doc_ids = pa.chunked_array(ids)
-        null = np.asarray(doc_ids.is_null())
         write_file(name + ".idx", np.concatenate(offsets).astype("<i8").tobytes())
         write_file(name + ".ids", np.asarray(doc_ids.fill_null(0)).astype("<i8").tobytes())
-        write_file(name + ".nul", null.astype(np.uint8).tobytes())
-        least = doc_ids[0].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([least], pa.int64()), pa.array([len(doc_ids)]), pa.array([at])], names=["file", "first_id", "n_docs", "n_tokens"])
+        write_file(name + ".nul", np.asarray(doc_ids.is_null()).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([task.partitionId()], pa.int32()), pa.array([len(doc_ids)]), pa.array([at])], names=["file", "part", "n_docs", "n_tokens"])
 
     return run
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> dict:
-    """Write the files below folder and return the manifest."""
+    """Write the files below folder and return the manifest. tokenizer: a path that the driver can read."""
     from tokenizers import Tokenizer
 
     bounded_batches(docs.sparkSession)
-    kind = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    parts = dealt.mapInArrow(_write(folder, tokenizer, kind, end), "file string, first_id long, n_docs long, n_tokens long").collect()  # one row a part
-    parts = sorted(parts, key=lambda r: (r["first_id"] is not None, r["first_id"]))
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = f.read()
+    kind = "<u2" if max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "<u4"
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumns({"mark": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange("doc_id", "mark", "at").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
+    parts = dealt.mapInArrow(_write(folder, spec, kind, end), "file string, part int, n_docs long, n_tokens long").collect()  # one row a part
+    parts = sorted(parts, key=lambda r: r["part"])
     bases = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in parts])]).astype(int).tolist() if parts else [0]
     manifest = {"dtype": kind, "end_id": end, "n_tokens": bases[-1], "parts": [{"file": r["file"], "base": b, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]} for r, b in zip(parts, bases, strict=False)]}
     write_file(f"{folder}/manifest.json", json.dumps(manifest).encode())
@@ -226,19 +274,22 @@ def _read(kind: str, with_ids: bool):
         for batch in batches:
             for part in batch.to_pylist():
                 name, base = part["file"], part["base"]
-                tokens, offsets = read_array(name + ".bin", np.dtype(kind)), read_array(name + ".idx", np.dtype("<i8"))
-                ids, null = read_array(name + ".ids", np.dtype("<i8")), read_array(name + ".nul", np.dtype(np.uint8))
-                for lo in range(0, len(ids), READ_ROWS):
-                    hi = min(lo + READ_ROWS, len(ids))
-                    edges = offsets[lo : hi + 1].tolist()
-                    crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    out = [pa.array(np.array(ids[lo:hi], np.int64), mask=np.array(null[lo:hi], bool)), pa.array(base + np.array(edges[:-1], np.int64)), pa.array(np.diff(np.array(edges, np.int64))), pa.array(crc, pa.int64())]
+                offsets, ids, null = (Values(name + x, k).read() for x, k in ((".idx", "<i8"), (".ids", "<i8"), (".nul", "u1")))
+                tokens, lo = Values(name + ".bin", kind), 0
+                while lo < len(ids):
+                    hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + READ_TOKENS, "right")) - 1)
+                    hi = min(hi, len(ids))
+                    edges = offsets[lo : hi + 1] - offsets[lo]
+                    some = tokens.read(int(offsets[lo]), int(offsets[hi])).astype("<u4")
+                    raw, cut = memoryview(some).cast("B"), (4 * edges).tolist()
+                    crc = [zlib.crc32(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    out = [pa.array(np.array(ids[lo:hi], np.int64), mask=np.array(null[lo:hi], bool)), pa.array(base + offsets[lo:hi]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        span = tokens[edges[0] : edges[-1]].astype(np.int32)
-                        out.append(pa.ListArray.from_arrays(pa.array(np.array(edges, np.int32) - edges[0]), pa.array(span)))
+                        out.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(some.astype(np.int32))))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(out, names=names)
+                    lo = hi
 
     return run
 

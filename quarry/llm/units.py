@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,53 @@ def gathered(at: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(at - stops + many, many) + np.arange(stops[-1] if len(stops) else 0)
 
 
+class Remembered:
+    """Runs of ids that were worked out for different strings, by string.
+
+    Up to limit strings are remembered, besides those of one call; then those go that few calls have asked for.
+    """
+
+    def __init__(self, limit: int, kind: np.dtype | type):
+        self.limit, self.known = limit, {}
+        self.ids, self.sizes, self.used = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def find(self, strings: pa.Array, work_out: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The places of different strings; work_out gives the ids of new ones, and how many each has."""
+        texts = strings.to_pylist()
+        if len(self.known) > self.limit:
+            self._forget()
+        place = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
+        self.used[place[place >= 0]] += 1
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            ids, sizes = work_out(strings.take(pa.array(new)))
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip([texts[i] for i in new.tolist()], place[new].tolist(), strict=True))
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.used = np.concatenate([self.used, np.ones(len(new), np.int32)])
+        return place
+
+    def _forget(self) -> None:
+        least = 2
+        while (self.used >= least).sum() > self.limit // 2:
+            least *= 2
+        stay = np.flatnonzero(self.used >= least)
+        strings = list(self.known)
+        self.known = {strings[i]: n for n, i in enumerate(stay.tolist())}
+        self.ids = self.ids[gathered((np.cumsum(self.sizes) - self.sizes)[stay], self.sizes[stay])]
+        self.sizes, self.used = self.sizes[stay], self.used[stay] // 2
+
+    def joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of one place after another, and how many each has."""
+        many = self.sizes[place]
+        return self.ids[gathered((np.cumsum(self.sizes) - self.sizes)[place], many)], many
+
+
+def tiled(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes from each start to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
+
+
 class Forest:
     """Union-find over 0 to n - 1, rooted at the least member."""
 

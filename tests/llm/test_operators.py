@@ -351,39 +351,87 @@ def test_url_filter_rules_and_twin(spark):
     assert {r.verdict for r in url_filter.judge_urls(spark.createDataFrame([(1, "http://a.org/b")], "page_id long, url string")).collect()} == {"allow"}
 
 
-def test_token_files(spark, corpus):
-    import public_tokenizers
+def token_file_rows(spark, docs, rows, path):
+    """The rows that files of docs give, after they were held against the library: order, places, ids and checksums."""
     from tokenizers import Tokenizer
 
     from quarry.llm import token_files
     from quarry.llm.storage import fresh_path
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    docs, rows = corpus
-    folder = fresh_path(spark, "tokens")
+    folder, tokenizer, start = fresh_path(spark, "tokens"), Tokenizer.from_file(path), 0
     manifest = token_files.write_tokens(docs, folder, path)
-    out = token_files.read_tokens(spark, folder, with_ids=True).orderBy("start").collect()
-    tokenizer = Tokenizer.from_file(path)
-    expected = sorted(((r[0] is not None, r[0] or 0), r[1] is not None, (r[1] or "").encode(), r[0], r[1] or "") for r in rows)
-    start = 0
-    assert len(out) == len(rows)
-    for r, (*_, doc_id, text) in zip(out, expected, strict=True):
-        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
-        assert (r.doc_id, r.start, r.n_tokens, list(r.ids)) == (doc_id, start, len(ids), ids)
-        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
-        start += len(ids)
+    out = sorted(token_files.read_tokens(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    for r in out:
+        assert r.start == start and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        start += r.n_tokens
     assert manifest["n_tokens"] == start
-    encoder = token_files.WordEncoder(path, "<u2", 0)
-    odd = ["", "a", " a", "a  b", "x\ny z", "don't 's it's a1 b' Tür, Straße!? é; x.y ,; ab1,", "a\n", "tab\tb c", "q \x1c u\u00a0 v\u2028w", "<|endoftext|> a <|endoftext|>", "漢字 ж, 🙂. a"]
-    for _ in range(2):  # new words, then remembered ones
-        tokens, sizes = encoder.encode(pa.array(odd))
-        assert tokens.tolist() == [i for t in odd for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 0]]
-        assert sizes.sum() == len(tokens) and (sizes > 0).all()
+    encoded = dict(zip((texts := sorted({r[1] or "" for r in rows})), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out) == Counter((r[0], (*encoded[r[1] or ""].ids, 0)) for r in rows)
+    return manifest
+
+
+def test_token_files(spark, corpus, monkeypatch):
+    import public_tokenizers
+
+    from quarry.llm import token_files
+    from quarry.llm.storage import fresh_path
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "READ_TOKENS", 3000)
+    token_file_rows(spark, *corpus, path)
+    clashing = [(i % 7 if i % 3 else None, f"row {i % 5}" if i % 4 else None, "x", i) for i in range(300)]
+    token_file_rows(spark, spark.createDataFrame(clashing, "doc_id long, text string, start string, ids int").repartition(3), clashing, path)
     folder = fresh_path(spark, "tokens")
     assert token_files.write_tokens(empty(spark), folder, path)["parts"] == []
     assert token_files.read_tokens(spark, folder).collect() == []
 
 
+@pytest.mark.parametrize("doc", [None, 5])
+def test_token_files_split_one_id(spark, doc):
+    """A group of equal rows does not meet in one part."""
+    import public_tokenizers
+
+    rows = [(doc, "the same text", None, None, None)] * 3000 + [(i, f"other {i}", None, None, None) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_file_rows(spark, spark.createDataFrame(rows, DOCS).repartition(8), rows, public_tokenizers.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest["parts"]) > 1 and max(p["n_docs"] for p in manifest["parts"]) < 2000
+
+
+def test_token_ids_equal_the_library():
+    """Cuts are pre-token borders whatever white space, signs, quotes and scripts meet; also where a worker forgets."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.llm import token_files
+
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    rnd, tokenizer = random.Random(12), Tokenizer.from_str(spec)
+    texts = ["", "a", " a", "a  b", "x\ny z", "don't 's it's a1 b' Tür, Straße!? é; x.y ,; ab1,", "a\n", "tab\tb c", "q \x1c u\u00a0 v\u2028w", "a \n <|endoftext|> a <|endoftext|>", "漢字 ж, 🙂. a", "e\u0301 ’s “a”"]
+    texts += ["".join(rnd.choices("abcde  \n\t.,'sttÄé×÷ªЖ漢🙂0129\x0b\x0c\r\x1c\x85\u00a0\u2009\u3000-_<>“”’", k=rnd.randint(1, 40))) for _ in range(3000)]
+    texts += ["".join(rnd.choices(["ab", "à", "s", "t", "ll", " ", "  ", "\n", " \n", "\t", "é", ".", ",'", "'", "'s", "12", "×", "’", "“"], k=rnd.randint(1, 14))) for _ in range(5000)]
+    rnd.shuffle(texts)
+    expected = [[*e.ids, 0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for limit in (600_000, 100):
+        encoder = token_files.TextEncoder(spec, "<u2", 0)
+        assert encoder.joins and encoder.bytewise
+        encoder.known.limit = limit
+        for lo in [*range(0, len(texts), 1000), 0]:
+            tokens, sizes = encoder.encode(pa.array(texts[lo : lo + 1000]))
+            assert [x.tolist() for x in np.split(tokens, np.cumsum(sizes)[:-1])] == expected[lo : lo + 1000]
+    # a tokenizer that merges across spaces is given whole texts
+    across = json.loads(spec) | {"pre_tokenizer": {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "never", "split": False}, "added_tokens": []}
+    across["model"] |= {"vocab": {"a": 0, "▁": 1, "b": 2, "a▁": 3, "a▁b": 4}, "merges": [["a", "▁"], ["a▁", "b"]]}
+    across = json.dumps(across)
+    tokens, sizes = token_files.TextEncoder(across, "<u2", 9).encode(pa.array(["a b a b", "b"]))
+    assert tokens.tolist() == [*Tokenizer.from_str(across).encode("a b a b").ids, 9, 2, 9] and 4 in tokens.tolist()
+
+
 ODD_TEXTS = ["", " ", "   ", "a  b", "  lead", "trail  ", "tab\tnew\n\nline", " \n \n", "ÄÖ ß 漢字 🙂 ​", "▁mark ▁▁x", "0123456789", "\x00\x7f", "é", "aaaa" * 50, "漢" * 3000, "x" * 70000]
 
 
