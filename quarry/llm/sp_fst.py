@@ -13,10 +13,9 @@ the pair alone, since a merge only sees neighbouring symbols and the first merge
 that pair. So at each position one last piece has a finite weight, and one state a position is enough. For unigram
 models there is no constraint, and the least weight decides.
 
-Inputs are cut where no piece can span: before a run of spaces, and around ASCII characters that occur in no longer
-piece. All different cuts of a batch are composed and relaxed in lockstep, a byte position at a time, and the texts'
-ids are put together from theirs. A worker remembers up to REMEMBERED cuts' paths, then only those of its last batch,
-and the constraint's answers in a table of 2 ** PAIR_BITS.
+Inputs are cut where no piece can span: between characters whose bytes no piece has side by side. All different cuts of
+a batch are composed and relaxed in lockstep, a byte position at a time, and the texts' ids are put together from
+theirs. A worker remembers some REMEMBERED cuts' paths, and the constraint's answers in a table of 2 ** PAIR_BITS.
 
 Decoding runs the transducers backwards: pieces to bytes, marks to spaces, and the mark in front removed; bytes that are
 not UTF-8 become replacement characters.
@@ -33,7 +32,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +41,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.storage import bounded_batches
 from quarry.llm.textscan import column_bytes
-from quarry.llm.units import gathered, grouped
+from quarry.llm.units import Remembered, gathered, grouped, tiled
 
 MARK = "▁"
-#: Cuts whose paths a worker remembers, besides a batch's; slots of the constraint's table.
+#: Cuts whose paths a worker remembers, besides a batch's; bits of the constraint's table.
 REMEMBERED, PAIR_BITS = 600_000, 21
 #: Bytes of different cuts that are relaxed together; ids decoded at a time.
-BLOCK, DECODED = 1 << 20, 1 << 19
+BLOCK, DECODED = 1 << 18, 1 << 17
 INFINITY = float("inf")
 
 _SIZE = np.ones(256, np.int32)
@@ -188,12 +186,15 @@ class Transducer:
             self.weight[i] = w
         own = [p for p in self.arcs if not self.merging or self.merge(p)[-1][2] == p]
         self.trie = Trie({p.replace(MARK, " ").encode(): self.arcs[p][0] for p in own})
-        self.marks_lead = not any(MARK in p.lstrip(MARK) for p in joined)
-        self.alone = np.array([b < 128 and b != 32 and chr(b) not in inner for b in range(256)])
+        # two bytes that no piece has side by side are apart, if the second begins a character
+        self.apart = np.ones(1 << 16, bool)
+        for piece in joined:
+            raw = np.frombuffer(piece.replace(MARK, " ").encode(), np.uint8).astype(np.intp)
+            self.apart[raw[:-1] << 8 | raw[1:]] = False
+        self.apart.reshape(256, 256)[:, 0x80:0xC0] = False
         self.pairs = Pairs(lambda key: self.adjacent(*divmod(key, self.n)))
         self.history = cache(lambda piece: self.merge(self.pieces[piece]))
-        self.known: dict[bytes, int] = {}
-        self.known_ids, self.known_sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.known = Remembered(REMEMBERED, np.int32)
 
     def merge(self, text: str) -> list[tuple[float, str, str]]:
         """Byte-pair merging of a text by itself: the weight of each merge in turn, with the first and last symbol after
@@ -317,46 +318,29 @@ class Transducer:
         data, offsets = data[base:stop], offsets - base
         if not len(data):
             return np.empty(0, np.int32), np.zeros(len(normal), np.int64)
-        begins = np.zeros(len(data) + 1, bool)
-        if self.marks_lead:
-            space = data == 32
-            begins[1:-1] = space[1:] & ~space[:-1]
-        alone = self.alone[data]
-        begins[:-1] |= alone
-        begins[1:] |= alone
-        begins[offsets] = True
-        begins[-1] = False
+        begins = np.zeros(len(data), bool)
+        begins[1:] = self.apart[data[:-1].astype(np.intp) << 8 | data[1:]]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(begins)
-        cuts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
-        coded = cuts.dictionary_encode()
-        entry = self.entries(coded.dictionary)[np.asarray(coded.indices)]
-        many = self.known_sizes[entry]
+        coded = tiled(data, starts).dictionary_encode()
+        ids, many = self.known.joined(self.known.find(coded.dictionary, self.encode_cuts)[np.asarray(coded.indices)])
         stops = np.concatenate([[0], np.cumsum(many)])
-        rows = np.diff(stops[np.searchsorted(starts, offsets)])
-        return self.known_ids[gathered((np.cumsum(self.known_sizes) - self.known_sizes)[entry], many)], rows
-
-    def entries(self, cuts: pa.Array) -> np.ndarray:
-        """The places of different cuts among the known paths; those of new cuts are found and entered."""
-        texts = cuts.to_pylist()
-        entry = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
-        new = np.flatnonzero(entry < 0)
-        if len(self.known) + len(new) > REMEMBERED:
-            new, self.known = np.arange(len(texts)), {}
-            self.known_ids, self.known_sizes = np.empty(0, np.int32), np.empty(0, np.int64)
-        if len(new):
-            new = new[np.argsort(np.asarray(pc.binary_length(cuts))[new], kind="stable")]
-            data, edges, _ = column_bytes(cuts.take(pa.array(new)))
-            ids, counts, lo = [self.known_ids], [self.known_sizes], 0
-            while lo < len(new):
-                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + BLOCK, "right")) - 1)
-                found = self.shortest_paths(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo])
-                ids.append(found[0])
-                counts.append(found[1])
-                lo = hi
-            entry[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip([texts[i] for i in new.tolist()], entry[new].tolist(), strict=True))
-            self.known_ids, self.known_sizes = np.concatenate(ids), np.concatenate(counts)
-        return entry
+        return ids, np.diff(stops[np.searchsorted(starts, offsets)])
+
+    def encode_cuts(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different cuts, and how many each has; cuts of like length are relaxed together."""
+        order = np.argsort(np.asarray(pc.binary_length(cuts)), kind="stable")
+        data, edges, _ = column_bytes(cuts.take(pa.array(order)))
+        ids, counts, lo = [], [], 0
+        while lo < len(order):
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + BLOCK, "right")) - 1)
+            found = self.shortest_paths(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo])
+            ids.append(found[0])
+            counts.append(found[1])
+            lo = hi
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        place = np.argsort(order)
+        return ids[gathered((np.cumsum(counts) - counts)[place], counts[place])], counts[place]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """The texts of consecutive runs of ids."""
