@@ -153,27 +153,14 @@ def test_jaccard_tiny_difference_at_threshold(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == {1: 1, 2: 1, 3: 3}
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_embeddings_match_brute_force(spark, block):
-    from quarry.llm.embed_dedup import near_duplicates
-
-    rnd = np.random.default_rng(3)
-    rows = []
-    for centre in rnd.normal(size=(12, 8)):
-        for _ in range(12):
-            rows.append((len(rows), [float(x) for x in (centre + rnd.normal(scale=rnd.choice([0.02, 0.08, 0.3]), size=8)).astype(np.float32)], int(rnd.integers(0, 2))))
-    for _ in range(40):
-        rows.append((len(rows), rows[0][1], 1))
-    one = rows[0][1]
-    rows += [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] + one[1:], 1), (903, [None] + one[1:], 1), (904, [float("inf")] + one[1:], 1), (905, one, None), (906, one[:4], 1), (907, [2 * x for x in one], 1), (None, one, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    out = {r.vec_id: r for r in near_duplicates(df, block=block).collect()}
+def brute_embeddings(rows):
+    """(n_links, component_id) of each row (id, vector, label), by all pairs."""
 
     def unit(v):
         v = np.array(v, np.float64)
         return v / np.linalg.norm(v)
 
-    fit = [(i, unit(v), k) for i, v, k in rows if i is not None and k is not None and v is not None and None not in v and np.isfinite(np.array(v)).all() and any(v)]
+    fit = [(n, unit(v), k) for n, (i, v, k, *_) in enumerate(rows) if i is not None and k is not None and v is not None and None not in v and np.isfinite(np.array(v)).all() and any(v)]
     links, count = [], defaultdict(int)
     for n, (i, u, k) in enumerate(fit):
         for j, w, m in fit[:n]:
@@ -181,15 +168,84 @@ def test_embeddings_match_brute_force(spark, block):
                 links.append((i, j))
                 count[i] += 1
                 count[j] += 1
-    root = components([i for i, *_ in rows if i is not None], links)
-    assert len(links) > 500
-    for i, *_ in rows:
-        if i is not None:
-            assert (out[i].n_links, out[i].component_id, out[i].kept) == (count[i], root[i], root[i] == i), i
-    assert out[None].component_id is None and not out[None].kept
+    root, least = components(range(len(rows)), links), {}
+    for n, r in enumerate(rows):
+        if r[0] is not None:
+            least[root[n]] = min(least.get(root[n], r[0]), r[0])
+    return [(count[n], least.get(root[n])) for n in range(len(rows))]
+
+
+def assert_embeddings(out, rows):
+    expected = Counter((r[0], n, c, r[0] is not None and r[0] == c) for r, (n, c) in zip(rows, brute_embeddings(rows), strict=True))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == expected
+
+
+@pytest.mark.parametrize("block", [8192, 8])
+def test_embeddings_match_brute_force(spark, block):
+    from quarry.llm.embed_dedup import near_duplicates
+
+    rnd = np.random.default_rng(3)
+    rows = []
+    for centre in rnd.normal(size=(12, 8)):
+        for _ in range(12):
+            rows.append((len(rows), [float(x) for x in (centre + rnd.normal(scale=rnd.choice([0.02, 0.08, 0.3]), size=8)).astype(np.float32)], int(rnd.integers(0, 2)), "x"))
+    for _ in range(40):
+        rows.append((len(rows), rows[0][1], 1, "x"))
+    one = rows[0][1]
+    odd = [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] + one[1:], 1), (903, [None] + one[1:], 1), (904, [float("inf")] + one[1:], 1), (905, one, None), (906, one[:4], 1), (907, [2 * x for x in one], 1), (908, [], 1), (909, [1.0] * 3000, 1), (910, [1.0] * 2999 + [0.5], 1), (None, one, 1)]
+    rows += [(*r, None) for r in odd]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, kept string")
+    assert_embeddings(near_duplicates(df, block=block).collect(), rows)
+    assert sum(n for n, _ in brute_embeddings(rows)) > 1000
     assert near_duplicates(df.where("false")).collect() == []
 
 
+def test_embeddings_of_one_id_are_vectors_of_their_own(spark):
+    """Fifty tables, a label each, whose ids repeat with other vectors."""
+    from quarry.llm.embed_dedup import near_duplicates
+
+    rows = [(1, [1.0, 0.0, 0.0], 99), (1, [0.0, 1.0, 0.0], 99), (2, [1.0, 0.01, 0.0], 99), (3, [0.01, 1.0, 0.0], 99), (4, [0.0, 1.0, 0.01], 99)]
+    rnd = np.random.default_rng(8)
+    for table in range(50):
+        centres = rnd.normal(size=(3, 5))
+        for _ in range(int(rnd.integers(5, 25))):
+            v = centres[rnd.integers(0, 3)] + rnd.normal(scale=0.12, size=5)
+            rows.append((int(rnd.integers(0, 12)), [float(x) for x in v.astype(np.float32)], table))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    out = near_duplicates(df).collect()
+    assert_embeddings(out, rows)
+    assert sorted(r.n_links for r in out if r.vec_id == 1)[-1] > 0
+
+
+def test_embedding_cells_hold_every_pair():
+    """Whatever the pivots, linked vectors share a cell where one of them is at home; cells of dense data are few."""
+    from quarry.llm import embed_dedup as e
+
+    rnd, tau = np.random.default_rng(5), (2 - 2 * e.COSINE) ** 0.5
+    for dim in (3, 16):
+        v = rnd.normal(size=(400, dim)) * rnd.choice([1, 3], size=(400, dim))
+        v = np.concatenate([v, v + rnd.normal(scale=0.15 / dim**0.5, size=v.shape) * np.linalg.norm(v, axis=1)[:, None]])
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        linked = np.argwhere(np.triu(v @ v.T >= e.COSINE, 1))
+        assert len(linked) > 200
+        for number in (1, 2, 7, 40, 200):
+            row, cell, home, core = e.cells_of(v, e.choose_pivots(v, number, tau), tau)
+            met, at_home = defaultdict(set), {}
+            for r, c, h in zip(row.tolist(), cell.tolist(), home.tolist(), strict=True):
+                met[r].add(c)
+                if h:
+                    at_home[r] = c
+            assert all(sum((at_home[a] == c or at_home[b] == c) for c in met[a] & met[b]) == 1 for a, b in linked.tolist())
+            assert (core <= home).all()
+    code, scale, bound = e.one_byte(v)
+    assert (np.linalg.norm(v - code * scale[:, None].astype(np.float64), axis=1) <= bound).all()
+    tight = rnd.normal(size=(600, 16)).repeat(5, axis=0) + rnd.normal(scale=0.01, size=(3000, 16))
+    tight /= np.linalg.norm(tight, axis=1)[:, None]
+    spread = rnd.normal(size=(3000, 64))
+    spread /= np.linalg.norm(spread, axis=1)[:, None]
+    assert len(e.plan_pivots(tight, np.zeros(3000, int), 1e7, tau)) > 100 > len(e.plan_pivots(spread, np.zeros(3000, int), 1e4, tau)) >= e.FEWEST
+
+
 def test_quality_rules_counts(spark, corpus):
     from quarry.llm.quality_rules import judge, passing_documents
 
