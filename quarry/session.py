@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +28,38 @@ log = logging.getLogger("quarry")
 
 @dataclass
 class Counters:
-    """What statements have touched since the last reset."""
+    """What statements have touched since the last reset. Of reads: the files that were opened, their bytes, and the rows
+    of the row groups and pages that the pushed filters left, in all passes (a sort samples its input first)."""
 
     files_read: int = 0
+    bytes_read: int = 0
+    rows_read: int = 0
     parts_written: int = 0
+    files_rewritten: int = 0
     rows_returned: int = 0
 
     def reset(self) -> None:
-        self.files_read = self.parts_written = self.rows_returned = 0
+        for f in fields(self):
+            setattr(self, f.name, 0)
+
+    def add_scans(self, df: DataFrame) -> None:
+        """Count what the scans of an executed DataFrame have read, by their metrics."""
+        for scan in _leaves(df._jdf.queryExecution().executedPlan()):
+            metrics = scan.metrics()
+            for name, mine in (("numFiles", "files_read"), ("filesSize", "bytes_read"), ("numOutputRows", "rows_read")):
+                if metrics.contains(name):
+                    setattr(self, mine, getattr(self, mine) + metrics.apply(name).value())
+
+
+def _leaves(plan) -> list:
+    """The leaves of a physical plan, through the stages of its adaptive execution."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _leaves(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _leaves(plan.plan())
+    below = plan.children()
+    return [x for i in range(below.size()) for x in _leaves(below.apply(i))] or [plan]
 
 
 @dataclass
@@ -82,6 +106,12 @@ class Session:
         schema = self.catalog.load(table).schema
         if sorted(df.columns) != sorted(schema.names()):
             raise EngineError("the specified columns don't match the table's columns")
+        texts = [c for c in schema.columns if c.type is DataType.VARCHAR]
+        if texts:
+            most = df.agg(*[F.max(F.length(F.col(f"`{c.name}`").cast("string"))) for c in texts]).first()
+            for c, n in zip(texts, most, strict=True):
+                if n is not None and n > c.length:
+                    raise EngineError(f"a value is longer than VARCHAR({c.length}) (column '{c.name}')")
         self.catalog.append(table, df.select(*[from_column(F.col(f"`{c.name}`"), c).alias(c.name) for c in schema.columns]), clustered=True)
         self.counters.parts_written += 1
 
@@ -115,12 +145,23 @@ class Session:
         return planned.project(planned.rows)
 
     def _result(self, planned: Planned) -> dict[str, list]:
-        ordered = planned.rows.orderBy(*planned.keys) if planned.keys else planned.rows
-        records = [[shown(v) for v in row] for row in planned.project(ordered).collect()]
-        self.counters.files_read += len(planned.rows.inputFiles())
+        ordered = planned.project(planned.rows.orderBy(*planned.keys) if planned.keys else planned.rows)
+        records = [[shown(v) for v in row] for row in ordered.collect()]
+        self.counters.add_scans(ordered)
         self.counters.rows_returned += len(records)
         return {"columns": planned.columns, "records": records}
 
+    def iterate(self, sql: str) -> Iterator[list]:
+        """The records of one SELECT in order, a task's rows in the driver at a time: for results that execute_sql, which
+        holds all of them, is too small for."""
+        statements = parse(sql)
+        if len(statements) != 1 or not isinstance(statements[0], s.Select):
+            raise EngineError("expected a single SELECT")
+        planned = self.plan(statements[0])
+        for row in planned.project(planned.rows.orderBy(*planned.keys) if planned.keys else planned.rows).toLocalIterator():
+            self.counters.rows_returned += 1
+            yield [shown(v) for v in row]
+
     # statements
 
     def _create_table(self, q: s.CreateTable) -> None:
@@ -143,9 +184,10 @@ class Session:
         table = self.catalog.load(q.table)
         if q.where is None:
             raise EngineError("invalid condition")
-        df = self.catalog.read(table)
-        self.catalog.rewrite(table, df.where(~F.coalesce(to_column(q.where, df), F.lit(False))))
-        self.counters.parts_written += 1
+        condition = to_column(q.where, self.catalog.read(table))
+        _, files = self.catalog.delete(table, condition)
+        self.counters.files_rewritten += files
+        self.counters.parts_written += files > 0
 
     def _create_index(self, q: s.CreateIndex) -> None:
         if len(q.columns) > 1:
