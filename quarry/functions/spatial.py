@@ -6,6 +6,8 @@ every engine rounds them alike.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +35,30 @@ def in_circle(p: Column, x: float, y: float, radius: float) -> Column:
     """The exact test, with the box around the circle as conjuncts that reach the scan."""
     if radius < 0:
         raise EngineError("a circle's radius must not be negative")
-    slack = radius * 1e-9 + 1e-300  # the box never cuts off what rounding lets into the circle
-    box = p["x"].between(x - radius - slack, x + radius + slack) & p["y"].between(y - radius - slack, y + radius + slack)
-    return box & (squared_distance(p, x, y) <= F.lit(radius * radius))
+    return _box(p, x, y, radius) & (squared_distance(p, x, y) <= F.lit(radius * radius))
+
+
+def _box(p: Column, x: float, y: float, radius: float) -> Column:
+    """The box around a circle; it never cuts off what rounding lets into the circle."""
+    reach = [math.nextafter(r + 1e-9 * (abs(c) + radius) + 1e-160, math.inf) for c, r in ((x, radius), (y, radius))]
+    return p["x"].between(x - reach[0], x + reach[0]) & p["y"].between(y - reach[1], y + reach[1])
 
 
 def nearest(p: Column, x: float, y: float, k: int, whole: DataFrame) -> Column:
     """Whether a row is among the k nearest of the whole table, all ties at the k-th distance included.
 
-    The k-th distance is a scalar subquery over the unfiltered table (top-k for each task, then k rows from each), so
-    the predicate stays an ordinary boolean that AND, OR and NOT combine as row sets.
+    The k-th distance is found at once, over the unfiltered table's points alone (top-k for each task, then k rows from
+    each). With it known, the predicate is a circle's, whose box reaches the scan: row groups of a table that is
+    clustered by the point are skipped. It is an ordinary boolean that AND, OR and NOT combine as row sets.
     """
     if k <= 0:
         raise EngineError("k must be positive")
     distance = squared_distance(p, x, y)
     top = whole.select(distance.alias("d")).where("d IS NOT NULL").orderBy("d").limit(k)
-    return distance <= top.agg(F.max("d")).scalar()
+    farthest = top.agg(F.max("d")).first()[0]
+    if farthest is None or not math.isfinite(farthest):
+        return distance <= F.lit(farthest).cast("double")
+    return _box(p, x, y, math.sqrt(farthest)) & (distance <= F.lit(farthest))
 
 
 def z_order(p: Column, low: tuple[float, float], high: tuple[float, float], bits: int = 16) -> Column:

@@ -183,15 +183,133 @@ def test_csv_import(session, tmp_path):
     assert len(rows(session, "SELECT * FROM t")) == 2
 
 
-def test_many_inserts_merge(session, monkeypatch):
-    from quarry.sources import catalog
+def test_inserts_merge_in_tiers(session, monkeypatch):
+    """A row is rewritten once a tier: not with every so many inserts."""
+    from quarry.sources.catalog import Catalog
 
-    monkeypatch.setattr(catalog, "MERGE_PARTS", 3)
+    written, write = [], Catalog._write
+    monkeypatch.setattr("quarry.sources.catalog.MERGE_PARTS", 3)
+    monkeypatch.setattr(Catalog, "_write", lambda self, df, schema: written.append(out := write(self, df, schema)) or out)
     session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY)")
-    for i in range(6):
+    for i in range(14):
         session.execute_sql(f"INSERT INTO t VALUES ({i})")
-    assert len(session.catalog.load("t").parts) <= 3
-    assert [r[0] for r in rows(session, "SELECT * FROM t")] == list(range(6))
+    parts = session.catalog.load("t").parts
+    assert sorted(p.rows for p in parts) == [1, 1, 3, 9]
+    assert sum(p.rows for p, _ in written) == 14 + 12 + 9  # singles, threes, a nine
+    assert [r[0] for r in rows(session, "SELECT * FROM t")] == list(range(14))
+
+
+def test_merges_leave_large_parts_alone(session, spark, monkeypatch):
+    session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY)")
+    session.import_frame("t", spark.range(5000).selectExpr("CAST(id AS INT) AS id"))
+    large = session.catalog.load("t").parts[0]
+    monkeypatch.setattr("quarry.sources.catalog.MERGE_PARTS", 3)
+    for i in range(4):
+        session.execute_sql(f"INSERT INTO t VALUES ({-i})")
+    assert large in session.catalog.load("t").parts
+
+
+def test_deletes_rewrite_only_files_that_match(session, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY INDEX BTREE, v INT)")
+        session.import_frame("t", spark.range(400).selectExpr("CAST(id AS INT) AS id", "CAST(id % 7 AS INT) AS v"))
+        (first,) = session.catalog.load("t").parts
+        left = list(range(400))
+        for where, keeps, files in (("id = 5", lambda i: i != 5, 1), ("id < 3 OR id = 7", lambda i: not (i < 3 or i == 7), 1), ("id > 1000", lambda i: True, 0), ("NOT id < 398", lambda i: i < 398, 1)):
+            session.counters.reset()
+            version = session.catalog.load("t").version
+            assert session.execute_sql(f"DELETE FROM t WHERE {where}")[1] == "Deletion successful"
+            left = [i for i in left if keeps(i)]
+            assert session.counters.files_rewritten == files, where
+            assert (session.catalog.load("t").version > version) == (files > 0)
+            assert [r[0] for r in rows(session, "SELECT id FROM t")] == left
+        parts = session.catalog.load("t").parts
+        assert sum(p.rows for p in parts) == len(left) and next(p for p in parts if p.name == first.name).rows >= 200
+        session.execute_sql("INSERT INTO t VALUES (5, 5)")
+        assert [r[0] for r in rows(session, "SELECT id FROM t")] == [*left, 5]
+        session.execute_sql("DELETE FROM t WHERE id KNN (1, 1, 1)")
+        session.execute_sql("DELETE FROM t WHERE id >= 0")
+        assert rows(session, "SELECT * FROM t") == [] and session.catalog.load("t").parts == ()
+        session.execute_sql("INSERT INTO t VALUES (1, 1)")
+        assert rows(session, "SELECT * FROM t") == [[1, 1]]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_knn_skips_row_groups_of_a_clustered_table(session, spark):
+    """Counters tell what pushed filters leave to read."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY, p POINT INDEX RTREE)")
+        session.import_frame("t", spark.range(8000).selectExpr("CAST(id AS INT) AS id", "named_struct('x', CAST(id * 37 % 101 AS DOUBLE), 'y', CAST(id * 61 % 97 AS DOUBLE)) AS p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    session.counters.reset()
+    near = rows(session, "SELECT id FROM t WHERE p KNN (3.0, 4.0, 5)")
+    points = {i: (i * 37 % 101, i * 61 % 97) for i in range(8000)}
+    distance = {i: (x - 3.0) ** 2 + (y - 4.0) ** 2 for i, (x, y) in points.items()}
+    assert [r[0] for r in near] == [i for i in points if distance[i] <= sorted(distance.values())[4]]
+    assert 0 < session.counters.rows_read < 8000 and session.counters.files_read == 4 and session.counters.bytes_read > 0
+    assert session.counters.rows_returned == len(near)
+    session.counters.reset()
+    rows(session, "SELECT id FROM t")
+    assert session.counters.rows_read >= 8000
+    session.execute_sql("CREATE TABLE e (id INT PRIMARY KEY, p POINT)")
+    assert rows(session, "SELECT id FROM e WHERE p KNN (0.0, 0.0, 3)") == []
+
+
+def test_import_checks_lengths(session, spark):
+    session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY, v VARCHAR(3))")
+    with pytest.raises(EngineError, match=r"VARCHAR\(3\)"):
+        session.import_frame("t", spark.createDataFrame([(1, "abcd")], "id int, v string"))
+    session.import_frame("t", spark.createDataFrame([(1, "äöü"), (2, None)], "id int, v string"))
+    assert rows(session, "SELECT v FROM t") == [["äöü"], [None]]
+
+
+def test_results_by_iteration(session, spark):
+    session.register("t", spark.range(50).selectExpr("id", "id % 3 AS k"), "id")
+    assert [r[0] for r in session.iterate("SELECT id FROM t WHERE k = 1 ORDER BY id DESC")] == [i for i in range(49, -1, -1) if i % 3 == 1]
+    with pytest.raises(EngineError):
+        next(session.iterate("DROP TABLE t"))
+
+
+def test_http_surface(session, spark):
+    """What POST /sql/ answers: pages and totals, messages of other statements, errors."""
+    from quarry.api import handle
+
+    session.register("nation", spark.read.parquet(f"{DATA}/nation.parquet"), "n_nationkey")
+    ask = lambda sql, limit=10, offset=0: handle(session, {"query": sql, "limit": limit, "offset": offset})
+    first, second = ask("SELECT n_nationkey FROM nation ORDER BY n_nationkey"), ask("SELECT n_nationkey FROM nation ORDER BY n_nationkey", "10", "20")
+    assert [r[0] for r in first["data"]["records"]] == list(range(10)) and [r[0] for r in second["data"]["records"]] == list(range(20, 25))
+    assert first["total"] == second["total"] == 25 and first["message"] == "Selection successful" and first["execution_time"] > 0
+    assert ask("SELECT n_nationkey FROM nation", 5, 100)["data"] == {"columns": ["n_nationkey"], "records": []}
+    made = ask("CREATE TABLE t (id INT PRIMARY KEY); INSERT INTO t VALUES (4)")
+    assert (made["data"], made["total"], made["message"]) == ({"columns": [], "records": []}, 0, "Insertion successful")
+    assert ask("INSERT INTO t VALUES (5); SELECT * FROM t")["data"] == {"columns": ["id"], "records": [[4], [5]]}
+    for bad, part in (("SELECT * FROM nowhere", "doesn't exist"), ("SELEC", "line 1"), ("SELECT id FROM t WHERE id = 'x'", "not of type INT")):
+        answer = ask(bad)
+        assert answer["data"] == {"columns": [], "records": []} and answer["total"] == 0 and part in answer["message"]
+
+
+def test_dump_of_tokens_and_trees(tmp_path, capsys):
+    from quarry.__main__ import main
+
+    (tmp_path / "q.sql").write_text("SELECT a FROM t -- c\nWHERE a >= -2.5;")
+    assert main(["tokens", str(tmp_path / "q.sql")]) == 0
+    assert capsys.readouterr().out.splitlines()[:3] == ["1:1 SELECT SELECT", "1:8 name a", "1:10 FROM FROM"]
+    assert main(["tree", str(tmp_path / "q.sql")]) == 0
+    assert "a >= -2.5" in capsys.readouterr().out
+    (tmp_path / "q.sql").write_text("SELECT")
+    assert main(["tree", str(tmp_path / "q.sql")]) == 1
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(unset)
 
 
 def test_streams(spark, tmp_path):
