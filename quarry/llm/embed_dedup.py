@@ -320,5 +320,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     component = F.coalesce("component_id", "vec_id")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
     out = materialize(out, "vector-result")
-    discard(classes, cells, possible, met, met_cells, cores, counts)
+    discard(classes, cells, possible, met, met_cells, cores, counts, roots)
     return out

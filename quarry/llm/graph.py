@@ -23,7 +23,8 @@ def _round(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) of 64-bit ids to (node, root): the least id that each linked node reaches. Nodes that are roots are left out."""
+    """(a, b) of 64-bit ids to (node, root): the least id that each linked node reaches. Nodes that are roots are left out.
+    The result is a materialized table, to be discarded by the caller."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
@@ -32,7 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges, before, mark = after, mark, _mark(after)
         if mark == before:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._quarry_path = edges._quarry_path
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

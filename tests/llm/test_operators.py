@@ -88,11 +88,13 @@ def brute_jaccard(rows):
     return components({a for a, _ in sets}, linked), sets
 
 
-@pytest.mark.parametrize("cell_tokens", [4_000_000, 1500])
-def test_jaccard_matches_brute_force(spark, corpus, monkeypatch, cell_tokens):
+@pytest.mark.parametrize("cell_tokens, run, fan", [(4_000_000, 512, 64), (1500, 3, 2)])
+def test_jaccard_matches_brute_force(spark, corpus, monkeypatch, cell_tokens, run, fan):
+    """Also where connected sets are dealt to blocks, crowded tokens chain their groups, and counts are summed in a tree."""
     from quarry.llm import jaccard_groups
 
-    monkeypatch.setattr(jaccard_groups, "CELL_TOKENS", cell_tokens)
+    for name, value in (("CELL_TOKENS", cell_tokens), ("RUN", run), ("FAN", fan)):
+        monkeypatch.setattr(jaccard_groups, name, value)
     docs, rows = corpus
     out = jaccard_groups.jaccard_components(docs).collect()
     root, sets = brute_jaccard(rows)
@@ -115,10 +117,13 @@ def test_jaccard_keeps_one_of_each_group(spark, corpus):
     assert jaccard_groups.jaccard_components(empty(spark)).collect() == []
 
 
-def test_jaccard_repeated_ids_with_different_texts(spark):
+@pytest.mark.parametrize("cell_tokens", [4_000_000, 400])
+def test_jaccard_repeated_ids_with_different_texts(spark, monkeypatch, cell_tokens):
     """Rows of one id with different texts are documents of their own, in one cell and across cells."""
     from quarry.llm import jaccard_groups
 
+    monkeypatch.setattr(jaccard_groups, "CELL_TOKENS", cell_tokens)
+
     rnd, rows = random.Random(8), []
     for family in range(12):
         words = [f"f{family}x{i}" for i in range(80)]
@@ -144,6 +149,57 @@ def test_jaccard_repeated_ids_with_different_texts(spark):
     assert all(r.doc_id == least[at[(r.doc_id, r.text)]] for r in kept)
 
 
+def test_jaccard_fifty_tables_with_repeated_ids(spark):
+    """Fifty tables of words of their own, whose ids repeat with other texts; columns that clash with the results."""
+    from quarry.llm import jaccard_groups
+
+    rnd, rows = random.Random(21), []
+    for table in range(50):
+        words = [f"t{table}w{rnd.randrange(40)}" for _ in range(rnd.randint(5, 60))]
+        for _ in range(rnd.randint(2, 9)):
+            near = list(words)
+            for _ in range(rnd.randint(0, 3)):
+                near[rnd.randrange(len(near))] = f"t{table}x{rnd.randrange(60)}"
+            rows.append((rnd.randrange(60), " ".join(near), "a", table))
+    sets = [shingles(r[1]) for r in rows]
+    linked = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(x & y) >= 75 * len(x | y)]
+    root, least = components(range(len(rows)), linked), {}
+    for i, r in enumerate(rows):
+        least[root[i]] = min(least.get(root[i], r[0]), r[0])
+    out = jaccard_groups.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, component_id string, n int").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter((r[0], len(sets[i]), least[root[i]]) for i, r in enumerate(rows))
+    assert 20 < len(linked)
+
+
+def test_link_forest_of_blocks_and_outsiders():
+    """Blocks with the leaders of the whole, then outsiders against each block, find what one cell finds."""
+    from quarry.llm.jaccard_groups import link_forest
+
+    rnd = np.random.default_rng(4)
+    base = [rnd.integers(0, 2**56, 60).astype(np.uint64) for _ in range(6)]
+    sets = []
+    for i in range(300):
+        s = base[min(int(rnd.exponential(1)), 5)].copy()
+        s[rnd.integers(0, 60, rnd.integers(0, 14))] = rnd.integers(0, 2**56)
+        sets.append(np.unique(s))
+    whole = link_forest(sets).roots()
+    leaders, block = [5, 77, 140, 210], rnd.integers(0, 4, 300)
+    links = []
+    for b in range(4):
+        at = np.unique(np.concatenate([np.flatnonzero(block == b), leaders]))
+        found = link_forest([sets[i] for i in at], chosen=[int(np.searchsorted(at, x)) for x in leaders]).roots()
+        links += [(int(at[i]), int(at[r])) for i, r in enumerate(found)]
+    root = components(range(300), links)
+    largest = Counter(root.values()).most_common(1)[0][0]
+    outer = [i for i in range(300) if root[i] != largest]
+    assert outer
+    for b in range(4):
+        at = np.unique(np.concatenate([np.flatnonzero(block == b), outer]))
+        found = link_forest([sets[i] for i in at], outside=np.searchsorted(at, outer)).roots()
+        links += [(int(at[i]), int(at[r])) for i, r in enumerate(found)]
+    assert components(range(300), links) == dict(enumerate(whole.tolist()))
+
+
 def test_jaccard_tiny_difference_at_threshold(spark):
     from quarry.llm.jaccard_groups import jaccard_components
 
