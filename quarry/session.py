@@ -249,8 +249,10 @@ class Session:
                 self.run(statement)
             if isinstance(statements[-1], s.Select):
                 planned = self.plan(statements[-1])
-                total, message = planned.rows.count(), "Selection successful"
+                message = "Selection successful"
                 rows = planned.project(page(planned.rows, planned.keys, offset, limit)).collect()
+                last = len(rows) < limit and (rows or not offset)  # a last page tells the total
+                total = offset + len(rows) if last else planned.rows.count()
                 data = {"columns": planned.columns, "records": [[shown(v) for v in row] for row in rows]}
                 self.counters.rows_returned += len(rows)
             else:

@@ -292,6 +292,13 @@ def test_http_surface(session, spark):
         assert answer["data"] == {"columns": [], "records": []} and answer["total"] == 0 and part in answer["message"]
 
 
+def test_statements_are_logged(session, caplog):
+    with caplog.at_level("INFO", logger="quarry"):
+        session.execute_sql("CREATE TABLE t (id INT PRIMARY KEY); SELECT * FROM t; SELECT * FROM nowhere")
+    assert [r.getMessage() for r in caplog.records] == ["CreateTable", "Select", "Select", "table 'nowhere' doesn't exist"]
+    assert [r.levelname for r in caplog.records][-1] == "WARNING"
+
+
 def test_dump_of_tokens_and_trees(tmp_path, capsys):
     from quarry.__main__ import main
 
