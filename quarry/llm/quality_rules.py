@@ -1,9 +1,10 @@
 """Quality rules: compression bands.
 
 Every whole text is compressed with zstandard, and so is each of its fixed chunks; where a remainder is left, the last
-chunk is the end of the text, so every byte of a text of a chunk or more lies in a judged one. Repetitive text compresses too well,
-incompressible text (keys, encoded data) hardly at all; both limits lie close to the ratios of running prose and depend
-on the length, as a longer text compresses better. The base counts (words, symbols, repeated lines and windows) are exact and come first.
+chunk is the end of the text, so every byte of a text of a chunk or more lies in a judged one. A shorter text is its own
+chunk, judged as a whole. Repetitive text compresses too well, incompressible text (keys, encoded data) hardly at all;
+both limits lie close to the ratios of running prose and depend on the length, as a longer text compresses better. All
+lengths have limits. The base counts (words, symbols, repeated lines and windows) are exact and come first.
 
 Defined results: a null or empty text has no words and fails the base rule. Every row is judged by itself, so ties,
 repeated rows and very long texts need nothing special. A null id is carried as null. Empty input gives an empty
@@ -12,6 +13,7 @@ result. Only the id and text columns are read; names of other columns cannot cla
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,12 @@ from quarry.llm.textscan import Words, chunks, column_bytes
 #: Robust deviations between the reference's prose and a limit.
 MARGIN = 5
 #: Ratio limits (lowest, highest) of a whole text of 2 ** k bytes by k, with straight lines in k between; shorter texts
-#: than the first are not judged, longer ones than the last have its limits. Up to 15 they are whole_limits() over all
-#: documents at sf0.1 that pass the base rule; the lowest also allows for two_languages() of them, which compress less.
-#: Beyond, where that table has six texts, the lowest stays and the highest goes on at its last slope.
+#: than the first, which all fail the base rule, and longer ones than the last have the limits of these. From 8 to 15
+#: they are whole_limits() over all documents at sf0.1 that pass the base rule; the lowest also allows for
+#: two_languages() of them, which compress less. Beyond, where that table has six texts, the lowest stays and the
+#: highest goes on at its last slope. Below, where it has none, they are whole_limits() over short_cuts() of them.
 WHOLE = {
+    6: (0.665, 1.187), 7: (1.002, 1.462),
     8: (1.14, 1.755), 9: (1.323, 1.846), 10: (1.584, 2.049), 11: (1.765, 2.189), 12: (1.92, 2.291), 13: (2.028, 2.401), 14: (2.035, 2.493),
     15: (2.11, 2.581), 16: (2.11, 2.669), 17: (2.11, 2.757), 18: (2.11, 2.845), 19: (2.11, 2.933), 20: (2.11, 3.021),
 }
@@ -75,9 +79,7 @@ def repeated_words(words: Words, size: int = 3) -> np.ndarray:
 
 def band_verdict(size: int, ratio: float, low: float, high: float) -> bool:
     """Whether the ratios of the whole text and of its chunks lie within their limits."""
-    if size < 2 ** min(WHOLE):
-        return True
-    least, most = (np.interp(np.log2(size), _BITS, limit) for limit in (_LEAST, _MOST))
+    least, most = (np.interp(np.log2(max(size, 1)), _BITS, limit) for limit in (_LEAST, _MOST))
     return bool(least <= ratio <= most) and (low != low or (low >= CHUNK_LIMITS[0] and high <= CHUNK_LIMITS[1]))
 
 
@@ -95,6 +97,11 @@ def two_languages(texts: list[bytes], languages: list[str]) -> list[bytes]:
     return out
 
 
+def short_cuts(texts: list[bytes]) -> list[bytes]:
+    """The beginnings of texts, of 64 to 256 bytes by a hash."""
+    return [t[: 64 + zlib.crc32(t) % 193] for t in texts]
+
+
 def whole_limits(sizes: np.ndarray, ratios: np.ndarray, languages: np.ndarray, knots: range = range(8, 16)) -> dict[int, tuple[float, float]]:
     """WHOLE from a corpus: by language a line of least absolute deviations over log2 of the length, bent at the knots.
 

@@ -332,6 +332,15 @@ def test_quality_rules_counts(spark, corpus):
     assert judge(empty(spark)).collect() == []
 
 
+def test_quality_rules_clashing_columns(spark):
+    from quarry.llm.quality_rules import judge, passing_documents
+
+    rows = [(1, "word " * 60, "a", 1), (1, "word " * 60, "a", 1), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, ratio int")
+    assert sorted((r.n_words, r.kept) for r in judge(df).collect()) == [(0, False), (60, False), (60, False)]
+    assert passing_documents(df).columns == df.columns
+
+
 def test_quality_bands_reject_both_ends():
     import zstandard
 
@@ -341,7 +350,12 @@ def test_quality_bands_reject_both_ends():
     noise, loop = bytes(rnd.choices(range(33, 127), k=20000)), b"the same words again and again. " * 700
     assert not band_verdict(len(noise), *ratios(noise, zstd))
     assert not band_verdict(len(loop), *ratios(loop, zstd))
-    assert band_verdict(3, *ratios(b"abc", zstd))
+    words = b"of in to a by on it is as at or we he be so do if up an us my no go me am ox pi ad hi ho ha oh ye lo ax id em en ma pa "
+    for size in (100, 150, 200, 255):  # also where the base rule leaves little room
+        assert not band_verdict(size, *ratios(bytes(rnd.choices(range(33, 127), k=size)), zstd)) or size < 110
+        assert not band_verdict(size, *ratios((b"a b " * 64)[:size], zstd))
+    assert band_verdict(120, *ratios(words[:120], zstd))
+    assert not band_verdict(0, *ratios(b"", zstd))
 
 
 @pytest.mark.parametrize("at", [0, 4096, 20480])
@@ -369,7 +383,7 @@ def test_quality_bands_fit_reference_prose(spark):
     """The limits come from whole sf0.1 without labels; labels show that they decide beyond the base rule."""
     import zstandard
 
-    from quarry.llm.quality_rules import CHUNK, CHUNK_LIMITS, WHOLE, chunk_limits, judge, two_languages, whole_limits
+    from quarry.llm.quality_rules import CHUNK, CHUNK_LIMITS, WHOLE, chunk_limits, judge, short_cuts, two_languages, whole_limits
 
     folder, zstd = DATA.replace("sf0.001", "sf0.1"), zstandard.ZstdCompressor(level=3)
     docs = judge(spark.read.parquet(f"{folder}/documents.parquet")).toPandas().merge(pd.read_parquet(f"{folder}/documents.parquet"), on="doc_id")
@@ -385,6 +399,9 @@ def test_quality_bands_fit_reference_prose(spark):
     one, two = fit(texts, languages), fit(mixed, ["two"] * len(mixed))
     for k in one:
         assert (min(one[k][0], two[k][0]), one[k][1]) == pytest.approx(WHOLE[k], abs=0.01), k
+    short = short_cuts(texts)
+    lowest = whole_limits(np.array([len(t) for t in short]), rate(short), np.array(languages), range(6, 9))
+    assert all(lowest[k] == pytest.approx(WHOLE[k], abs=0.01) for k in (6, 7))
     chunks, own = [t for t, _ in full], [x for _, x in full]
     pairs = two_languages(chunks, own)
     low, high = chunk_limits(rate(chunks), np.array(own))
@@ -392,6 +409,10 @@ def test_quality_bands_fit_reference_prose(spark):
     labelled = prose.merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
     kept = labelled.groupby("quality")["kept"].mean()
     assert kept[1] > 0.998 and kept[0] < 0.4
+    # by length: clean ones stay everywhere; bad ones go the more the longer they are
+    by = labelled.groupby([labelled["size"].map(lambda n: min(13, int(np.log2(n)))), "quality"])["kept"].mean().unstack()
+    assert (by[1] > 0.99).all()
+    assert [by[0][k] < most for k, most in ((10, 0.45), (11, 0.3), (12, 0.3), (13, 0.3))] == [True] * 4, by
 
 
 def test_quality_classifier(spark, corpus):
