@@ -1,22 +1,24 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target in words: the total (a share of all words) is dealt by weight, a source stops at ``most``
-times its own size, and the excess is reshared by weight among the others. That is water-filling, solved in closed
-form: sources sorted by (most * size / weight) are at their limit up to the first that stays below it.
+times its own size, and the excess is reshared by weight among the others. That is water-filling: the level rises as
+sources reach their limit, until none is above. Weights go by the place of a source in the order of all.
 
 Within a source a document's expected number of copies is e = min(most, theta * w), with w rising slowly with the
-document's length class, and theta chosen so that the expected words equal the target (the same closed form over at
-most 64 length classes a source). floor(e) whole copies are certain. The rest p = e - floor(e) is drawn by Pareto
-sampling: documents are ranked by the odds of a hashed uniform number over the odds of p, and the first of the order
-are taken. The sample's size is fixed in words: the order is cut where the source's words come closest to the target.
+document's length class, and theta chosen so that the expected words equal the target (in closed form over at most 64
+length classes a source). floor(e) whole copies are certain. The rest p = e - floor(e) is drawn by Pareto sampling:
+documents are ranked by the odds of a hashed uniform number over the odds of p, and the first of the order are taken.
+The sample's size is fixed in words: the order is cut where the source's words come closest to the target.
 
-No source is gathered in one task: words are summed over (source, rank bin), the cut's bin is found on those sums, and
-only the documents of that bin (1/4096 of a source) are put in order.
+Nothing that grows is gathered in one task, but for the last of these: sources are numbered and levelled by sums over
+all tasks; words are summed over (source, rank bin), BINS rows a source, and the cut's bin is found on those sums; only
+the documents of that bin, one in BINS of a source, are put in order.
 
 Defined results: a null or empty text has size 0 and contributes nothing. A null source is a source of its own, the
-last. A null id is drawn by its text. Repeated rows share one draw; if the cut falls among them, only so many of them are
-taken as come closest to the target. Ties of rank are broken by id and size. Empty input gives an
-empty result. Input columns whose names clash with the outputs are not carried; ``mixed_documents`` carries them all.
+last. A null id is drawn by its text. Repeated rows share one draw; if the cut falls among them, only so many of them
+are taken as come closest to the target. Ties of rank are broken by id and size. A very long text is counted whole.
+Empty input gives an empty result. Input columns whose names clash with the outputs are not carried;
+``mixed_documents`` carries them all.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import materialize, small
+from quarry.llm.storage import discard, materialize, small
 
 #: Production parameters: weights in the order of sources, the share of all words, and the limit on copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -48,8 +50,10 @@ def _class(size: str) -> Column:
     return F.length(F.bin(F.col(size))).cast("int")
 
 
-def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), _draw(doc_id, text).alias("u")).withColumn("k", _class("size"))
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, *more: Column) -> DataFrame:
+    # as a generator's output, size is worked out once: no filter on it is pushed below, where it would be once more
+    found = F.inline(F.array(F.struct(word_count(text).alias("size"), _draw(doc_id, text).alias("u"))))
+    return docs.select(*more, F.col(doc_id).alias("id"), F.col(source).alias("source"), found).withColumn("k", _class("size"))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -66,25 +70,35 @@ def _ranked(df: DataFrame) -> DataFrame:
     )
 
 
+def _placed(sources: DataFrame) -> DataFrame:
+    """sources with at, their place by code point, null last, without gathering them in one task."""
+    order = (F.col("source").isNull(), F.col("source").cast("binary"))
+    dealt = sources.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(dealt.withColumn("part", F.spark_partition_id()).withColumn("own", F.monotonically_increasing_id() % (1 << 33)), "mix-placed")
+    parts = rows.groupBy("part").agg(F.count("*").alias("many"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = parts.select("part", F.coalesce(F.sum("many").over(upto), F.lit(0)).alias("offset"))
+    out = rows.join(small(parts), "part").select(*sources.columns, (F.col("offset") + F.col("own")).alias("at"))
+    out._quarry_path = rows._quarry_path
+    return out
+
+
 def source_targets(by_source: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, source_size) to (source, source_size, target). One row a source: small whatever the number of documents."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    """(source, source_size) to (source, source_size, target). Discarding the result discards its places."""
+    s = _placed(by_source)
     listed = F.array(*[F.lit(float(w)) for w in weights])
-    s = by_source.withColumn("at", F.row_number().over(order) - 1)
-    s = s.withColumn("weight", F.element_at(listed, (F.col("at") % len(weights) + 1).cast("int"))).withColumn("limit", F.col("source_size") * most)
-    fill = Window.orderBy(F.col("limit") / F.col("weight"), "at")
-    everything = Window.partitionBy()
-    s = (
-        s.withColumn("total", F.sum("source_size").over(everything) * share)
-        .withColumn("pos", F.row_number().over(fill))
-        .withColumn("before", F.coalesce(F.sum("limit").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("after", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("before")) / F.col("after"))
-        .withColumn("first", F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("pos"))).over(everything))
-        .withColumn("at_level", F.max(F.when(F.col("pos") == F.col("first"), F.col("level"))).over(everything))
-    )
-    target = F.when(F.col("first").isNull() | (F.col("pos") < F.col("first")), F.col("limit").cast("double")).otherwise(F.col("at_level") * F.col("weight"))
-    return s.select("source", "source_size", target.alias("target"))
+    weight, limit = F.element_at(listed, (F.col("at") % len(weights) + 1).cast("int")), F.col("source_size") * most
+    total = (s.agg(F.sum("source_size")).first()[0] or 0) * share
+    full, level = F.lit(False), 0.0
+    while True:  # the level rises as sources reach their limit
+        capped, left = s.agg(F.sum(F.when(full, limit)), F.sum(F.when(~full, weight))).first()
+        if not left or (total - (capped or 0)) / left == level:
+            break
+        level = (total - (capped or 0)) / left
+        full = F.lit(level) * weight > limit
+    out = s.select("source", "source_size", F.when(full, limit.cast("double")).otherwise(F.lit(level) * weight).alias("target"))
+    out._quarry_path = s._quarry_path
+    return out
 
 
 def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -124,7 +138,9 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     last = last.select("source", "found.*")
     s, x, y = per_source.alias("s"), cuts.alias("x"), last.alias("y")
     plan = s.join(x, F.expr("s.source <=> x.source"), "left").join(y, F.expr("s.source <=> y.source"), "left")
-    return materialize(plan.select("s.source", "s.source_size", "s.target", "s.theta", F.expr("x.bin AS cut_bin"), "y.last", "y.fit"), "mix-plan")
+    plan = materialize(plan.select("s.source", "s.source_size", "s.target", "s.theta", F.expr("x.bin AS cut_bin"), "y.last", "y.fit"), "mix-plan")
+    discard(sized, classes, targets, per_source, cuts)
+    return plan
 
 
 def _with_sources(df: DataFrame, per_source: DataFrame, sources: int) -> DataFrame:
@@ -167,6 +183,5 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mixed corpus itself: every document as often as the mix takes it, with the columns of docs."""
     plan = plan_mix(docs, weights, share, most)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source"), word_count("text").alias("size"), _draw("doc_id", "text").alias("u")).withColumn("k", _class("size"))
-    out = _with_copies(row, plan)
+    out = _with_copies(_sized(docs, "doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), plan)
     return out.where("copies > 0 AND size > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

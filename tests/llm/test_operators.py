@@ -720,6 +720,29 @@ def test_sharding_twin_and_stability(spark, corpus):
     assert sharding.shard_documents(empty(spark)).collect() == []
 
 
+def test_mixing_targets_of_many_sources(spark):
+    """Places and levels over all tasks equal water-filling in one list."""
+    from quarry.llm import mixing
+
+    rnd = random.Random(13)
+    sizes = {f"s{i}é"[: rnd.randint(2, 5)] + str(i): int(rnd.paretovariate(0.6) * 10) for i in range(300)} | {None: 70, "": 0, "Z": 3}
+    out = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(9)).collect()}
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    weight = {x: mixing.WEIGHTS[i % 3] for i, x in enumerate(order)}
+    total, full = 1.5 * sum(sizes.values()), set()
+    while True:
+        level = (total - sum(2 * sizes[x] for x in full)) / sum(weight[x] for x in order if x not in full)
+        more = {x for x in order if level * weight[x] > 2 * sizes[x]}
+        if more == full:
+            break
+        full = more
+    assert 0 < len(full) < len(order)
+    for x in order:
+        assert out[x] == pytest.approx(2 * sizes[x] if x in full else level * weight[x])
+    assert sum(out.values()) == pytest.approx(total)
+    assert mixing.source_targets(spark.createDataFrame([("a", 0), ("b", 0)], "source string, source_size long")).collect() == [("a", 0, 0.0), ("b", 0, 0.0)]
+
+
 def test_mixing_twin_and_targets(spark, corpus):
     from quarry.llm import mixing
 
