@@ -19,8 +19,9 @@ aggregated before they are shuffled, and the join back is by form, whose other s
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule, has no score and is
 blocked. An empty host and path with ``://`` is scored by its end mark alone. Rows are judged apart, so repeated rows
-and null ids need nothing special; without any labelled url every score is 0, and all are allowed. Empty input gives an
-empty result. Only the id and url columns are read.
+and null ids need nothing special. A very long url is scored whole, in work that grows with its length. Without any
+labelled url every score is 0, and all are allowed. Empty input gives an empty result. Only the id and url columns are
+read.
 """
 
 from __future__ import annotations
@@ -30,14 +31,12 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import BROADCAST_ROWS, materialize
+from quarry.llm.storage import discard, materialize, small
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Characters of the longest context, times a class must have seen one, the share of forms held out, bins a unit of score.
 ORDER, LEAST, HELD, BINS = 4, 2, 5, 64
 ALPHABET, UNIT = 96, float(1 << 20)
-#: Bytes of the scored forms up to which they are broadcast.
-BROADCAST_BYTES = 16_000_000
 START, END = "\x02", "\x03"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -78,7 +77,7 @@ def _grams(form: str, order: int) -> Column:
 def log_ratios(forms: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """(form, allowed, blocked) to (gram, ratio): log of the models' ratio for each gram's last character, in units.
 
-    Grams of all forms are listed, also those that no training form has.
+    Grams of all forms are listed, also those that no training form has. Discarding the result discards their counts.
     """
     counts = forms.select(F.explode(_grams("form", order)).alias("gram"), "allowed", "blocked")
     counts = materialize(counts.groupBy("gram").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "url-grams")
@@ -102,13 +101,17 @@ def log_ratios(forms: DataFrame, order: int = ORDER, least: int = LEAST) -> Data
                 for x in ("allowed", "blocked")
             ],
         )
-    return model.select("gram", F.round((F.log("allowed_p") - F.log("blocked_p")) * UNIT).cast("long").alias("ratio"))
+    out = model.select("gram", F.round((F.log("allowed_p") - F.log("blocked_p")) * UNIT).cast("long").alias("ratio"))
+    out._quarry_path = counts._quarry_path
+    return out
 
 
 def score_forms(forms: DataFrame, ratios: DataFrame, order: int = ORDER) -> DataFrame:
-    """(form, score): the mean log ratio of its characters."""
-    parts = forms.select("form", F.explode(_grams("form", order)).alias("gram")).join(ratios, "gram")
-    return parts.groupBy("form").agg((F.sum("ratio") / F.lit(UNIT) / F.count("*")).alias("score"))
+    """(number, form) to (form, score): the mean log ratio of its characters. Characters go by a form's number, not the
+    form itself, so that a long one is not sent with each of them."""
+    parts = forms.select("number", F.explode(_grams("form", order)).alias("gram")).join(ratios, "gram")
+    scores = parts.groupBy("number").agg((F.sum("ratio") / F.lit(UNIT) / F.count("*")).alias("score"))
+    return forms.select("number", "form").join(scores, "number").select("form", "score")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -130,13 +133,12 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, page_id: str = "page_id",
     rule, says = rule_columns(rules)
     parsed = parsed.withColumn("rule", rule).withColumn("says", says).withColumn("form", F.when(F.col("usable"), form_of()))
     forms = parsed.where("usable").groupBy("form").agg(F.max(F.coalesce(F.col("says") == "allow", F.lit(False)).cast("long")).alias("allowed"), F.max(F.coalesce(F.col("says") == "block", F.lit(False)).cast("long")).alias("blocked"))
-    forms = materialize(forms.withColumn("held", held_out()), "url-forms")
+    forms = materialize(forms.withColumn("held", held_out()).withColumn("number", F.monotonically_increasing_id()), "url-forms")
     training = forms.select("form", *[F.when(F.col("held"), 0).otherwise(F.col(x)).cast("long").alias(x) for x in ("allowed", "blocked")])
-    scored = materialize(score_forms(forms, log_ratios(training)), "url-scores")
+    ratios = log_ratios(training)
+    scored = materialize(score_forms(forms, ratios), "url-scores")
     threshold = calibrate(forms.where("held AND allowed + blocked > 0").join(scored, "form"))
-    size = scored.agg(F.count("*").alias("n"), F.sum(F.octet_length("form")).alias("bytes")).first()
-    if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
-        scored = F.broadcast(scored)
+    discard(ratios, forms)
     method = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
-    out = parsed.join(scored, "form", "left")
+    out = parsed.join(small(scored), "form", "left")
     return out.select("page_id", "host", "path", "rule", "score", F.coalesce("says", method).alias("verdict"))

@@ -470,8 +470,11 @@ def test_url_filter_rules_and_twin(spark):
 
     urls = [None, "", "no scheme", "http://", "http://A.COM/x", "https://com/", "http://com", "http://xcom/y", "http://example.com/en/1?q", "http://www.example.com/en/1#f", "ftp://b.example.com/en", "http://z.net/es/1", "http://net/fr/", "http://a.org/ünï/1", "http://a.org/x?y=http://b.com/", "http://q.net/" + "a/" * 3000]
     pages = [(i, u) for i, u in enumerate(urls)] + [(None, "http://a.com/"), (1, "")]
+    pages += [(90, "http://a.com/" + "ab0" * 20000), (91, "no scheme " * 5000)]
     pages += [(100 + i, f"http://host{i % 7}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'es', 'fr', 'de')[i % 4]}/{i}") for i in range(400)]
     df = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    clashing = df.selectExpr("*", "1 AS host", "'x' AS verdict", "array(1) AS form")
+    assert Counter(url_filter.judge_urls(clashing).collect()) == Counter(url_filter.judge_urls(df).collect())
     out = url_filter.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").toPandas()
     assert len(out) == len(pages)
     got = {r.page_id: r for r in out.itertuples() if r.page_id == r.page_id}
