@@ -8,8 +8,9 @@ The table has ``size`` rows whatever the input, so its broadcast is bounded by t
 broadcast hash join on the slot, without a shuffle of documents.
 
 Defined results: a null id is placed by its text; a null id with a null text by the empty key, prefixed so that they
-never clash with an id. Repeated ids go to the same shard. An empty table gives an empty result. Other columns of the
-input are left alone: the added columns replace none (clashing names raise ``ValueError`` in ``shard_documents``).
+never clash with an id. Repeated ids go to the same shard. A very long text is only read for its hash. An empty table
+gives an empty result. Other columns of the input are left alone: the added columns replace none (clashing names raise
+``ValueError`` in ``shard_documents``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text in a written file.
+FILE_BYTES = 256 << 20
 #: Production parameters: a prime table size of over 100 slots a shard keeps shares within a percent or two.
 SHARDS, TABLE_SIZE = 64, 8191
 
@@ -69,8 +72,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, size: int = TABLE_SIZ
     return docs.withColumn("slot", slot_of(placement_key(doc_id, text), size)).join(table, "slot").select(*[docs[c] for c in docs.columns], "slot", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, size: int = TABLE_SIZE, files: int = 1) -> None:
-    """Write docs below path as shard=N folders; files spreads a shard's rows over so many tasks."""
-    placed = shard_documents(docs, shards, size)
-    spread = F.pmod(F.xxhash64(placement_key()), F.lit(files))
-    placed.drop("slot").repartition(shards * files, "shard", spread).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, size: int = TABLE_SIZE, file_bytes: int = FILE_BYTES) -> None:
+    """Write docs below path as shard=N folders, in files of about so many bytes of text.
+
+    A shard's rows are spread over as many tasks as its bytes need, by row, so a repeated id or text meets in none.
+    """
+    placed = shard_documents(docs, shards, size).drop("slot")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-total // (shards * file_bytes)))
+    at = "at" + "_" * max(map(len, docs.columns))  # a name that no column has
+    placed = placed.withColumn(at, F.monotonically_increasing_id())
+    spread = F.pmod(F.xxhash64(placement_key(), F.col(at)), F.lit(files))
+    placed.repartition(shards * files, "shard", spread).drop(at).write.partitionBy("shard").parquet(path)

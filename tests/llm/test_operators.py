@@ -723,6 +723,22 @@ def test_sharding_twin_and_stability(spark, corpus):
     assert sharding.shard_documents(empty(spark)).collect() == []
 
 
+def test_shards_are_written_by_bytes(spark, corpus, tmp_path):
+    """Every row comes back from its shard's folder; a shard beyond the size is several files."""
+    from quarry.llm import sharding
+
+    docs, rows = corpus
+    sharding.write_shards(docs, f"file://{tmp_path}/a", shards=4, file_bytes=20_000)
+    back = spark.read.parquet(f"file://{tmp_path}/a").collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r[0], r[1]) for r in rows)
+    placed = Counter((r.doc_id, r.text, r.shard) for r in sharding.shard_documents(docs, 4).collect())
+    assert Counter((r.doc_id, r.text, r.shard) for r in back) == placed
+    files = Counter(p.parent.name for p in tmp_path.glob("a/*/*.parquet"))
+    assert len(files) == 4 and all(n > 1 for n in files.values())
+    sharding.write_shards(docs, f"file://{tmp_path}/b", shards=4)
+    assert all(n == 1 for n in Counter(p.parent.name for p in tmp_path.glob("b/*/*.parquet")).values())
+
+
 def test_mixing_targets_of_many_sources(spark):
     """Places and levels over all tasks equal water-filling in one list."""
     from quarry.llm import mixing
