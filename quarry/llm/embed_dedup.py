@@ -9,14 +9,15 @@ is made only where this holds for tau and every m of NEAREST. So each linked pai
 them at home, and cells join independently, by label.
 
 Home vectors within tau / 2 of their pivot (the core) are all linked, again by the triangle inequality: their links are
-counted from sums, never compared. What remains of a cell is compared in blocks of at most BLOCK rows a side, so a cell
+counted from sums, never compared. What remains of a cell is compared in blocks of about BLOCK_BYTES a side, so a cell
 of any size is many equal tasks. Cells join twice. First vectors are sent as one byte a component, with a bound of what
 that changes, and only the classes with a possible partner come back; then these alone meet as they are. A block
 returns counts and a forest of its links, never pairs. Components come from rounds of DataFrame operations.
 
-The number of pivots is that power of two, from FEWEST to MOST, for which sending and comparing cost least as foreseen from a
-sample of about SAMPLE classes: dense data take more pivots as they grow, spread out data fewer but larger cells. The
-sample and the pivots are what reaches the driver; a length of vectors without a sampled one has a single pivot.
+The number of pivots is that power of two, from FEWEST to MOST, for which sending and comparing cost least as foreseen
+from a sample of about SAMPLE classes, if it sends a row MOST_SENT times at most: dense data take more pivots as they
+grow, spread out data few and larger cells. The sample and the pivots are what reaches the driver; a length of vectors
+without a sampled one has a single pivot.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component links with nothing, nor does
 one with a null label or null id; it is its own component (null for a null id, and then not kept). Vectors of different
@@ -40,8 +41,10 @@ from quarry.llm.storage import discard, materialize, small
 from quarry.llm.units import Forest, runs
 
 COSINE = 0.98
-#: Rows of a block, and of it those that are compared at a time; least and most pivots; classes from which they are chosen.
-BLOCK, TILE, FEWEST, MOST, SAMPLE = 8192, 512, 8, 1024, 4096
+#: Bytes of a block's vectors in double precision, and rows of it that are compared at a time.
+BLOCK_BYTES, TILE = 16 << 20, 128
+#: Least and most pivots; classes from which they are chosen; how often a row is sent on average, if that can be met.
+FEWEST, MOST, SAMPLE, MOST_SENT = 8, 1024, 4096, 4
 #: Numbers of nearest pivots over which a visit's bound is taken.
 NEAREST = (1, 2, 4, 8)
 #: What sending a row costs, in multiplications.
@@ -107,11 +110,13 @@ def cells_of(v: np.ndarray, p: np.ndarray, tau: float) -> tuple[np.ndarray, np.n
     return row, cell, at_home, at_home & (distance[row, cell] <= tau / 2 - SLACK)
 
 
-def plan_pivots(sample: np.ndarray, labels: np.ndarray, rows: float, tau: float, block: int = BLOCK) -> np.ndarray:
-    """The pivots for about so many rows, of which sample is a part: as many as cost least."""
+def plan_pivots(sample: np.ndarray, labels: np.ndarray, rows: float, tau: float, block: int | None = None) -> np.ndarray:
+    """The pivots for about so many rows, of which sample is a part: as many as cost least among those that send a row
+    MOST_SENT times at most; if none does, those that send rows least often."""
+    block = block or max(FEWEST, BLOCK_BYTES // (8 * sample.shape[1]))
     pivots = choose_pivots(sample, MOST, tau)
     number = min(FEWEST, len(pivots))
-    best, least = pivots[:number], math.inf
+    best, least = pivots[:number], (math.inf, math.inf)
     while True:
         p = pivots[:number]
         parts = [cells_of(sample[lo : lo + 256], p, tau) for lo in range(0, len(sample), 256)]
@@ -121,9 +126,11 @@ def plan_pivots(sample: np.ndarray, labels: np.ndarray, rows: float, tau: float,
         share = rows / len(sample)
         everyone, homes = (np.bincount(code[some], minlength=1) * share for some in (slice(None), at_home))
         homes = np.pad(homes, (0, len(everyone) - len(homes)))
-        cost = (everyone * np.ceil(everyone / block) * SENT + homes * (everyone - homes / 2) * sample.shape[1]).sum() + rows * len(p) * sample.shape[1]
-        if cost < least:
-            best, least = p, cost
+        sent = (everyone * np.ceil(everyone / block)).sum()
+        cost = sent * SENT + (homes * (everyone - homes / 2)).sum() * sample.shape[1] + rows * len(p) * sample.shape[1]
+        found = max(MOST_SENT, sent / max(rows, 1)), cost
+        if found < least:
+            best, least = p, found
         if number >= len(pivots):
             return best
         number = min(2 * number, len(pivots))
@@ -252,8 +259,9 @@ def _compare(cosine: float):
 CELL = ["label", "dim", "pivot"]
 
 
-def _blocks(assigned: DataFrame, block: int) -> DataFrame:
-    """A row a cell: how many blocks its rows fill, those of the core apart."""
+def _blocks(assigned: DataFrame, rows: int | None) -> DataFrame:
+    """A row a cell: how many blocks (of BLOCK_BYTES, or of so many rows) its rows fill, those of the core apart."""
+    block = F.lit(rows) if rows else F.greatest(F.lit(FEWEST), F.floor(BLOCK_BYTES / (8 * F.max("dim"))))
     rest, everyone = F.sum((~F.col("core")).cast("int")), F.count("*")
     return assigned.groupBy(*CELL).agg(F.ceil(rest / block).cast("int").alias("rest_blocks"), F.ceil((everyone - rest) / block).cast("int").alias("core_blocks"), everyone.alias("rows"))
 
@@ -276,8 +284,8 @@ def _valid(e: Column) -> Column:
     return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & ~odd & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
-    """One row a vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", block: int | None = None) -> DataFrame:
+    """One row a vector: vec_id, n_links, component_id, kept. block: rows of a block, instead of BLOCK_BYTES."""
     tau = math.sqrt(2 - 2 * cosine)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
     rows = rows.withColumn("valid", _valid(F.col("embedding")))
