@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ from quarry.llm.textscan import column_bytes
 from quarry.llm.units import Remembered, gathered, grouped, tiled
 
 MARK = "▁"
-#: Cuts whose paths a worker remembers, besides a batch's; bits of the constraint's table.
-REMEMBERED, PAIR_BITS = 600_000, 21
+#: Cuts whose paths a worker remembers, besides a batch's; merges of pieces; bits of the constraint's table.
+REMEMBERED, HISTORIES, PAIR_BITS = 200_000, 8192, 20
 #: Bytes of different cuts that are relaxed together; ids decoded at a time.
 BLOCK, DECODED = 1 << 18, 1 << 17
 INFINITY = float("inf")
@@ -193,7 +193,7 @@ class Transducer:
             self.apart[raw[:-1] << 8 | raw[1:]] = False
         self.apart.reshape(256, 256)[:, 0x80:0xC0] = False
         self.pairs = Pairs(lambda key: self.adjacent(*divmod(key, self.n)))
-        self.history = cache(lambda piece: self.merge(self.pieces[piece]))
+        self.history = lru_cache(HISTORIES)(lambda piece: self.merge(self.pieces[piece]))
         self.known = Remembered(REMEMBERED, np.int32)
 
     def merge(self, text: str) -> list[tuple[float, str, str]]:
@@ -319,7 +319,7 @@ class Transducer:
         if not len(data):
             return np.empty(0, np.int32), np.zeros(len(normal), np.int64)
         begins = np.zeros(len(data), bool)
-        begins[1:] = self.apart[data[:-1].astype(np.intp) << 8 | data[1:]]
+        begins[1:] = self.apart[data[:-1].astype(np.uint16) << 8 | data[1:]]
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(begins)
         coded = tiled(data, starts).dictionary_encode()
@@ -395,6 +395,8 @@ def _encode(model: bytes):
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             out = [batch.column("doc_id"), pa.array(counts), pa.array(crc, pa.int64()), pc.equal(decoded, normal), _lists(ids, counts), decoded]
             yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in ENCODED.split(", ")])
+            del batch, normal, ids, counts, decoded, raw, ends, crc, out
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -45,6 +45,8 @@ from quarry.llm.units import Remembered, gathered, grouped, tiled
 END_ID = 0
 #: Cuts that a worker remembers; cuts that go to the merge model at a time; tokens that are read at a time.
 REMEMBERED, JOINED, READ_TOKENS = 600_000, 100, 2_000_000
+#: Bytes of text that are encoded at a time, besides a batch.
+ENCODE_BYTES = 8 << 20
 #: A run of Latin letters, and white space beyond ASCII's.
 LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -223,7 +225,7 @@ def _write(folder: str, spec: str, kind: str, end: int):
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         offsets, ids = [np.zeros(1, np.int64)], []
         out, at = None, 0
-        for batch in grouped(batches):
+        for batch in grouped(batches, ENCODE_BYTES):
             if out is None:
                 fs, local = place(name)
                 fs.create_dir(os.path.dirname(local), recursive=True)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on together, besides a batch.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -84,7 +84,7 @@ class Remembered:
         while (self.used >= least).sum() > self.limit // 2:
             least *= 2
         stay = np.flatnonzero(self.used >= least)
-        strings = list(self.known)
+        strings, self.known = list(self.known), {}
         self.known = {strings[i]: n for n, i in enumerate(stay.tolist())}
         self.ids = self.ids[gathered((np.cumsum(self.sizes) - self.sizes)[stay], self.sizes[stay])]
         self.sizes, self.used = self.sizes[stay], self.used[stay] // 2

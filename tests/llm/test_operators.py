@@ -443,6 +443,122 @@ def test_label_model_finds_accuracies():
     assert all(abs(model.table[j, c, qc.BAD] - (0.7 if kind[j] == c else 0.03)) < 0.06 for j in range(k) for c in (1, 2))
 
 
+def brute_grams(raw, size, bits):
+    """The hashed n-grams of bytes, one at a time."""
+    from quarry.llm.byte_features import _FACTORS
+
+    out = []
+    for i in range(len(raw) - size + 1):
+        code = size * 0x01000193
+        for k in range(size):
+            code = (code ^ raw[i + k]) * int(_FACTORS[k]) & 0xFFFFFFFF
+        code ^= code >> 15
+        out.append((code * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - bits))
+    return out
+
+
+def brute_measures(text):
+    """What each labeller measures of a text, from its definition."""
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for line in raw.split(b"\n") if (x := line.rstrip())]
+    letters = len(re.findall(rb"[A-Za-z]", raw))
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    again = {i + k for i in range(len(w) - 2) if windows[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+    seen, copies = set(), 0
+    for line in raw.split(b"\n"):
+        if line.strip(b" \t\n\x0b\x0c\r"):
+            copies += line in seen
+            seen.add(line)
+    plain = re.compile(rb"[0-9A-Za-z.,;:?)\x22\x27\x00-\x20\x7f-\xff]")
+    pairs = [
+        (len(re.findall(rb"[#*$%&|<>]", raw)), len(w)), (len(re.findall(rb"[A-Z]", raw)), letters), (raw.count(b"!"), len(w)), (len(again), len(w)),
+        (sum(x == y for x, y in zip(w, w[1:], strict=False)), len(w)), (copies, len(lines)), (len(re.findall(rb"[0-9]", raw)), letters),
+        (sum(x[-1:] not in b'.!?:;"\x27)' for x in lines), len(lines)), (sum(len(re.findall(rb"[!-@\[-`{-~]", x)) for x in w), sum(map(len, w))), (sum(not plain.fullmatch(x[-1:]) for x in w), len(w)),
+    ]
+    return [a / b if b else float("nan") for a, b in pairs]
+
+
+def test_quality_label_model_by_documents(corpus):
+    """Measures, votes and the label model against one text and one document at a time, without patterns."""
+    from quarry.llm import quality_classifier as qc
+
+    texts = [r[1] for r in corpus[1]] + ["HELLO!!! BUY 123 $$$", "same same same same", "a\na\na\nb.", "# * % é ünï", "x 1 2 3 4 5 6 7"]
+    got = np.concatenate(list(qc.measure(pa.array(texts))))
+    expected = np.array([brute_measures(t) for t in texts])
+    assert np.allclose(got[:, :-1], expected, equal_nan=True)
+    vote = np.array([[qc.GOOD if x <= good else qc.BAD if x >= bad else qc.NONE for x, (_, good, bad, _) in zip(row, qc.LABELLERS, strict=True)] for row in expected])
+    some = got[:, -1] > 0
+    vote = vote[some]
+    assert (qc.votes(got)[some] == vote).all()
+    pattern, counts = np.unique(qc.pattern_of(vote), return_counts=True)
+    model = qc.estimate(pattern, counts)
+    kind = [c for *_, c in qc.LABELLERS]
+    belief = []
+    for v in vote:
+        against = [sum(x == qc.BAD and k == c for x, k in zip(v, kind, strict=True)) for c in range(qc.CLASSES)]
+        belief.append([0.9 * (a / sum(against) if sum(against) else c == 0) + 0.1 / qc.CLASSES for c, a in enumerate(against)])
+    for _ in range(qc.ROUNDS):
+        share = [(sum(b[c] for b in belief) + 1) / (len(vote) + qc.CLASSES) for c in range(qc.CLASSES)]
+        table = [[[sum(b[c] for b, v in zip(belief, vote, strict=True) if v[j] == x) + 1 for x in range(3)] for c in range(qc.CLASSES)] for j in range(len(kind))]
+        table = [[[x / sum(row) for x in row] for row in own] for own in table]
+        before, belief = belief, []
+        for v in vote:
+            mass = [share[c] * np.prod([table[j][c][x] for j, x in enumerate(v)]) for c in range(qc.CLASSES)]
+            belief.append([m / sum(mass) for m in mass])
+        if max(abs(x - y) for a, b in zip(before, belief, strict=True) for x, y in zip(a, b, strict=True)) < 1e-9:
+            break
+    assert np.allclose([b[0] for b in belief], model.posterior[qc.pattern_of(vote)], atol=1e-6)
+    assert np.allclose(table, model.table, atol=1e-6)
+
+
+def test_quality_scorer_by_trigrams(spark):
+    """Scores of a text from its trigrams, one at a time; ties, repeated rows and clashing columns."""
+    from quarry.llm import quality_classifier as qc
+
+    rnd = np.random.default_rng(3)
+    weights, texts = rnd.normal(size=1 << qc.BITS), ["plain words here", "Ünï #1", "a", "ab", "the the the the", "x " * 50000]
+    posterior = rnd.random(3 ** len(qc.LABELLERS))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    (out,) = qc._judge(posterior, weights, 0.25)(iter([batch]))
+    for text, score in zip(texts, out.column("score").to_pylist(), strict=True):
+        grams = Counter(brute_grams(text.encode(), 3, qc.BITS))
+        raw = sum(n**0.5 * weights[g] for g, n in grams.items()) / sum(grams.values()) ** 0.5 if grams else None
+        vote = qc.votes(np.array([brute_measures(text)]))
+        assert score == pytest.approx(1 / (1 + np.exp(-(raw + 0.25))) if grams else posterior[qc.pattern_of(vote)[0]], abs=1e-9)
+    rows = [(1, "good plain words in a row.", 9), (1, "good plain words in a row.", 9), (None, "good plain words in a row.", 8), (2, None, 1), (3, "#### $$$$ !!!!", 1)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int").withColumnRenamed("score", "kept").selectExpr("*", "1 AS n_words", "'x' AS weak_label")
+    got = qc.classify(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert len({r.score for r in got if r.n_words == 6}) == 1 and {r.n_words for r in got if r.doc_id == 2} == {0}
+
+
+def test_language_scores_by_centroids(spark):
+    """Cosines with every centroid, from one n-gram at a time; repeated rows, long texts and clashing columns."""
+    from quarry.llm import language_id as li
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = li.fit(docs)
+    texts = [r.text for r in docs.where("text is not null").limit(12).collect()] + ["the", "Straße ÜBER", "a1b2 c3!", "und " * 30000]
+    got = model.predict(pa.array(texts))
+    for text, language, score in zip(texts, got[0], got[1], strict=True):
+        raw = bytes(0x20 if b < 128 and not chr(b).isalpha() else b for b in text[:3000].lower().encode()) if len(text) < 3000 else None
+        if raw is None:
+            continue
+        grams = Counter(g for size in (2, 3) for g in brute_grams(raw, size, li.BITS))
+        vector = {g: n**0.5 * model.idf[g] for g, n in grams.items()}
+        length = sum(x * x for x in vector.values()) ** 0.5
+        cosines = [sum(x * c[g] for g, x in vector.items()) / length for c in model.centroids]
+        assert score == pytest.approx(max(cosines), abs=1e-9) and language == model.languages[int(np.argmax(cosines))]
+    assert got[0][-1] == "de" and 0 < got[1][-1] <= 1
+    odd = spark.createDataFrame([(i % 3, t, "xx", 1.0, "en") for i, t in enumerate(texts * 2)], "doc_id long, text string, lang_pred string, score double, held_out string").selectExpr("*", "cast(null as string) AS lang")
+    out = li.identify(odd, model).collect()
+    assert Counter((r.lang_pred, round(r.score, 9)) for r in out) == Counter((a, round(float(b), 9)) for a, b in zip(got[0] * 2, np.tile(got[1], 2), strict=True))
+    tie = li.Model(model.idf, np.concatenate([model.centroids, model.centroids]), [*model.languages, *["zz"] * len(model.languages)], np.tile(model.limits, 2))
+    assert tie.predict(pa.array(texts))[0] == got[0]
+    assert li.accepted_documents(odd, model).columns == odd.columns
+
+
 def test_language_id(spark, corpus):
     from quarry.llm import language_id
 
