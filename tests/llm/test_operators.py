@@ -117,6 +117,21 @@ def test_jaccard_keeps_one_of_each_group(spark, corpus):
     assert jaccard_groups.jaccard_components(empty(spark)).collect() == []
 
 
+def test_jaccard_matrix_takes_nine_bytes_a_token(spark, corpus):
+    """What the matrix's shuffle carries: 4 bytes of a token below its bucket and 5 of a group."""
+    import numpy as np
+
+    from quarry.llm import jaccard_groups
+
+    docs, rows = corpus
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("doc_id", "CAST(text AS binary) AS text")
+    matrix = texts.mapInArrow(jaccard_groups._matrix(np.zeros(1 << jaccard_groups.SLOT_BITS, np.uint16), 16), "bucket int, tokens binary, groups binary").collect()
+    tokens, groups = (sum(len(r[c]) for r in matrix) for c in ("tokens", "groups"))
+    _, sets = brute_jaccard(rows)
+    most = sum(len(s) - (75 * len(s) + 99) // 100 + 1 for _, s in sets if s)
+    assert 0 < tokens + groups <= 9 * most and 5 * tokens == 4 * groups
+
+
 @pytest.mark.parametrize("cell_tokens", [4_000_000, 400])
 def test_jaccard_repeated_ids_with_different_texts(spark, monkeypatch, cell_tokens):
     """Rows of one id with different texts are documents of their own, in one cell and across cells."""
