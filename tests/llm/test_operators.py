@@ -132,6 +132,28 @@ def test_jaccard_matrix_takes_nine_bytes_a_token(spark, corpus):
     assert 0 < tokens + groups <= 9 * most and 5 * tokens == 4 * groups
 
 
+@pytest.mark.parametrize("words", [1, 1 << 17])
+def test_jaccard_shuffles_only_texts_in_doubt(spark, corpus, monkeypatch, words):
+    """Rows that stay and do not repeat pass without an exchange, whatever the filter lets through."""
+    from quarry.llm import jaccard_groups
+
+    monkeypatch.setattr(jaccard_groups, "DOUBT_WORDS", words)
+    found, apart = [], jaccard_groups._apart
+    monkeypatch.setattr(jaccard_groups, "_apart", lambda *a: found.append(apart(*a)) or found[-1])
+    docs, rows = corpus
+    docs = docs.union(docs.where("doc_id % 7 = 0"))
+    ids = [r.doc_id for r in jaccard_groups.one_of_each_group(docs).collect()]
+    root, _ = brute_jaccard(rows)
+    assert sorted(i for i in ids if i is not None) == sorted(set(root.values()))
+    sure, rest = found[0]
+    assert "Exchange hashpartitioning" not in sure._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    times = Counter(a for a, _ in (tuple(r)[:2] for r in docs.select("doc_id", "text").collect()) if a is not None)
+    single = {i for i in ids if i is not None and times[i] == 1}
+    got = {r.id for r in sure.collect()}
+    assert got <= single and {r.id for r in rest.collect()} >= set(times) - single
+    assert words == 1 or len(got) > 0.9 * len(single)
+
+
 @pytest.mark.parametrize("cell_tokens", [4_000_000, 400])
 def test_jaccard_repeated_ids_with_different_texts(spark, monkeypatch, cell_tokens):
     """Rows of one id with different texts are documents of their own, in one cell and across cells."""
